@@ -1,8 +1,9 @@
 """The registered queries of this subpackage, and DuckDB SQL where SQL can express them."""
 
-from varigrid.llm import substring_dedup
+from varigrid.llm import lm_scoring, substring_dedup
 
 QUERIES = {
+    "op10_lm_scoring": lm_scoring.query,
     "op9_substring_dedup": substring_dedup.query,
 }
 
