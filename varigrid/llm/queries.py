@@ -1,9 +1,11 @@
 """The registered queries of this subpackage, and DuckDB SQL where SQL can express them."""
 
-from varigrid.llm import lm_scoring, substring_dedup
+from varigrid.llm import bpe, lm_scoring, substring_dedup, token_files
 
 QUERIES = {
     "op10_lm_scoring": lm_scoring.query,
+    "op4_bpe": bpe.query,
+    "op7_token_files": token_files.query,
     "op9_substring_dedup": substring_dedup.query,
 }
 
