@@ -1,4 +1,4 @@
-"""Shared plumbing of the operators: input sizes, shared tables, blocks and shards.
+"""Shared plumbing of the operators: input sizes, blocks and shards.
 
 A *block* is a set of documents chosen by a hash of doc_id, small enough for one
 Python worker; a *shard* is a range of keys.  Blocks send each shard the distinct
@@ -8,53 +8,18 @@ shard once per block, and each shard answers once per block.
 
 from __future__ import annotations
 
-import contextlib
 import math
-import tempfile
-import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varigrid.llm.textvec import from_planes, planes
+from varigrid.plans.storage import shared_dir, stored
+
+__all__ = ["shared_dir", "stored"]
 
 BLOCK_BYTES = 8 << 20
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where that is unset, as in tests on one machine, a temporary folder is made.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = root.get() if root.isDefined() else None
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="varigrid-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and return it as read from there.
-
-    This cuts the lineage; a lost executor costs nothing that was written. The
-    shuffle files of the job that wrote it are removed at its end.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/varigrid-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, None)
-    with contextlib.suppress(Exception):
-        spark.conf.set(_CLEAN, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        with contextlib.suppress(Exception):
-            spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def input_bytes(df: DataFrame) -> int:

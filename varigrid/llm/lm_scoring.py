@@ -43,6 +43,7 @@ from varigrid.llm.blocks import n_blocks, pack, pack_sorted, shard_of, slices, s
 from varigrid.llm.textvec import crc32_text, word_chunks
 
 ORDER = 2
+BLOCK_BYTES = 4 << 20
 HELD_MOD = 10
 DISCOUNT_UP_TO = 5
 _END = np.uint64(0x5851F42D4C957F2D)
@@ -365,7 +366,7 @@ def fit(blocks: DataFrame, shards: int, order: int = ORDER) -> Model:
 def lm_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(doc_id, text) to token counts, the smoothed unigram score and the Katz model's log10 probability of each text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = n_blocks(docs)
+    n = n_blocks(docs, BLOCK_BYTES)
     blocks = with_block(docs, n)
     model = fit(blocks, n, order)
     return blocks.groupBy("block").cogroup(model.answers.groupBy("block")).applyInArrow(_score(order, model.uni), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
