@@ -1,11 +1,14 @@
 """The registered queries of this subpackage, and DuckDB SQL where SQL can express them."""
 
-from varigrid.llm import bpe, lm_scoring, substring_dedup, token_files
+from varigrid.llm import bpe, language_id, lm_scoring, minhash_dedup, secret_scan, substring_dedup, token_files
 
 QUERIES = {
     "op10_lm_scoring": lm_scoring.query,
+    "op1_minhash_dedup": minhash_dedup.query,
+    "op3_language_id": language_id.query,
     "op4_bpe": bpe.query,
     "op7_token_files": token_files.query,
+    "op8_secret_scan": secret_scan.query,
     "op9_substring_dedup": substring_dedup.query,
 }
 
