@@ -1,10 +1,11 @@
 """The registered queries of this subpackage, and DuckDB SQL where SQL can express them."""
 
-from varigrid.llm import bpe, decontamination, language_id, lm_scoring, minhash_dedup, secret_scan, substring_dedup, token_files
+from varigrid.llm import ann, bpe, decontamination, language_id, lm_scoring, minhash_dedup, secret_scan, substring_dedup, token_files
 
 QUERIES = {
     "op10_lm_scoring": lm_scoring.query,
     "op1_minhash_dedup": minhash_dedup.query,
+    "op2_ann": ann.query,
     "op3_language_id": language_id.query,
     "op4_bpe": bpe.query,
     "op6_decontamination": decontamination.query,
