@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and DuckDB SQL where SQL can express them."""
 
-from varigrid.llm import ann, bpe, decontamination, language_id, lm_scoring, minhash_dedup, secret_scan, substring_dedup, token_files
+from varigrid.llm import ann, bpe, decontamination, html_extract, language_id, lm_scoring, minhash_dedup, secret_scan, substring_dedup, token_files
 
 QUERIES = {
     "op10_lm_scoring": lm_scoring.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op2_ann": ann.query,
     "op3_language_id": language_id.query,
     "op4_bpe": bpe.query,
+    "op5_html_extract": html_extract.query,
     "op6_decontamination": decontamination.query,
     "op7_token_files": token_files.query,
     "op8_secret_scan": secret_scan.query,
