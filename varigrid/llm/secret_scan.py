@@ -3,16 +3,17 @@
 Base patterns give labelled credentials: the value of an assignment, an access
 key, a hexadecimal run. From a bounded sample of them (``TRAIN_PER_KIND`` values
 a kind, those with the smallest hashes) one probabilistic automaton a kind is
-inferred: a prefix tree over character classes, with a character or end count at
-each state, whose compatible states are merged in breadth-first order (two
-states are compatible if the Hoeffding bound separates neither their end rates
-nor their rates for any class, nor those of their successors).
+inferred. Its alphabet are classes of characters with statistically equal rates.
+A prefix tree counts classes and ends at each state; its states are folded, in
+breadth-first order, into the first kept state that is compatible: the Hoeffding
+bound separates neither their end rates nor their rates for any class, nor those
+of their successors.
 
 Every candidate of a text, a run of at least ``MIN_LENGTH`` characters of
 ``[A-Za-z0-9+/_=-]`` that holds a digit and is no part of a base span, is scored
 by each automaton: mean log10 likelihood a character, where a class's mass is
-shared by its characters. Candidates that an automaton accepts with at least the
-lowest score of its training values less ``MARGIN`` are added as spans of kind
+shared by its characters. Candidates that reach the lowest score of an
+automaton's training values less ``MARGIN`` are added as spans of kind
 ``format``.
 
 Defined cases: null text is empty and has no spans. With fewer than
@@ -47,19 +48,6 @@ HEX = re.compile(rb"[0-9a-f]{24,}")
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
 _HINT = re.compile(rb"[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]")
 _DIGIT = re.compile(rb"[0-9]")
-_CLASSES = (b"0123456789", b"abcdef", b"ghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"+/_=-.")
-
-
-def _class_table() -> list[int]:
-    table = [len(_CLASSES)] * 256
-    for i, chars in enumerate(_CLASSES):
-        for c in chars:
-            table[c] = i
-    return table
-
-
-CLASS_OF = _class_table()
-_SIZE = [len(c) for c in _CLASSES] + [256 - sum(map(len, _CLASSES))]
 
 
 def base_spans(raw: bytes) -> list[tuple[int, int, int, int]]:
@@ -82,14 +70,17 @@ class _State:
 
 
 class Automaton:
-    """Deterministic stochastic automaton over character classes, inferred by state merging."""
+    """Deterministic stochastic automaton over classes of characters, inferred by state merging."""
 
     def __init__(self, values: list[bytes], alpha: float = ALPHA):
+        self.bound = math.sqrt(0.5 * math.log(2 / alpha))
+        self.class_of = self._alphabet(values)
+        self.size = Counter(self.class_of.values())
         self.states = [_State()]
         for v in values:
             s = 0
             for c in v:
-                k = CLASS_OF[c]
+                k = self.class_of[c]
                 st = self.states[s]
                 st.n += 1
                 st.seen[k] += 1
@@ -99,10 +90,18 @@ class Automaton:
                 s = st.to[k]
             self.states[s].n += 1
             self.states[s].ends += 1
-        self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge_all()
         self.low = min((self.score(v) for v in values), default=0.0) - MARGIN
-        self.classes = min((len({CLASS_OF[c] for c in v}) for v in values), default=0)
+
+    def _alphabet(self, values: list[bytes]) -> dict[int, int]:
+        """Characters by descending rate; one starts a new class if its rate differs from the rate of the class's first."""
+        count = Counter(c for v in values for c in v)
+        total, out, first, k = sum(count.values()), {}, None, -1
+        for c, n in sorted(count.items(), key=lambda x: (-x[1], x[0])):
+            if first is None or self._differ(first, total, n, total):
+                first, k = n, k + 1
+            out[c] = k
+        return out
 
     def _differ(self, a: int, n: int, b: int, m: int) -> bool:
         return abs(a / n - b / m) > self.bound * (n**-0.5 + m**-0.5)
@@ -111,14 +110,12 @@ class Automaton:
         work = [(a, b)]
         while work:
             x, y = work.pop()
-            if x == y:
-                continue
             p, q = self.states[x], self.states[y]
             if not p.n or not q.n:
                 continue
             if self._differ(p.ends, p.n, q.ends, q.n) or any(self._differ(p.seen[k], p.n, q.seen[k], q.n) for k in {*p.seen, *q.seen}):
                 return False
-            work += [(p.to[k], q.to[k]) for k in p.to if k in q.to]
+            work += [(p.to[k], q.to[k]) for k in p.to if k in q.to and p.to[k] != q.to[k]]
         return True
 
     def _fold(self, a: int, b: int) -> None:
@@ -137,49 +134,40 @@ class Automaton:
                     p.to[k] = t
 
     def _merge_all(self) -> None:
-        """Take states of the tree in breadth-first order; merge each into the first compatible kept state, or keep it."""
-        kept, front = [0], deque((0, k) for k in sorted(self.states[0].to))
-        while front:
-            s, k = front.popleft()
+        """Take the tree states below kept ones, the first kept first; fold each into the first compatible kept state, or keep it."""
+        kept: dict[int, None] = {0: None}
+        while True:
+            at = next(((s, k) for s in kept for k in sorted(self.states[s].to) if self.states[s].to[k] not in kept), None)
+            if at is None:
+                break
+            s, k = at
             t = self.states[s].to[k]
-            if t in kept:
-                continue
-            for r in kept:
-                if self._compatible(r, t):
-                    self.states[s].to[k] = r
-                    self._fold(r, t)
-                    front.extend((r, j) for j in sorted(self.states[r].to) if (r, j) not in front)
-                    break
+            into = next((r for r in kept if self._compatible(r, t)), None)
+            if into is None:
+                kept[t] = None
             else:
-                kept.append(t)
-                front.extend((t, j) for j in sorted(self.states[t].to))
+                self.states[s].to[k] = into
+                self._fold(into, t)
         number = {s: i for i, s in enumerate(kept)}
         self.states = [self.states[s] for s in kept]
         for st in self.states:
             st.to = {k: number[t] for k, t in st.to.items()}
 
     def score(self, value: bytes) -> float:
-        """Mean log10 likelihood a character, the end included; a step the automaton lacks costs its smoothed rate."""
+        """Mean log10 likelihood a character, the end included; minus infinity for what the automaton can't make."""
         total, s = 0.0, 0
         for c in value:
-            k = CLASS_OF[c]
+            k = self.class_of.get(c)
             st = self.states[s]
-            total += math.log10((st.seen[k] + 0.01) / (st.n + 0.01 * (len(_SIZE) + 1)) / _SIZE[k])
-            s = st.to.get(k, s)
+            if k not in st.to:
+                return -math.inf
+            total += math.log10(st.seen[k] / st.n / self.size[k])
+            s = st.to[k]
         st = self.states[s]
-        total += math.log10((st.ends + 0.01) / (st.n + 0.01 * (len(_SIZE) + 1)))
-        return total / (len(value) + 1)
-
-    def accepts(self, value: bytes) -> bool:
-        """Whether every step exists and as many classes occur as in any training value, so that the format and not only its letters fits."""
-        if len({CLASS_OF[c] for c in value}) < self.classes:
-            return False
-        s = 0
-        for c in value:
-            s = self.states[s].to.get(CLASS_OF[c], -1)
-            if s < 0:
-                return False
-        return self.states[s].ends > 0
+        return (total + math.log10(st.ends / st.n)) / (len(value) + 1) if st.ends else -math.inf
+
+    def fits(self, value: bytes) -> bool:
+        return self.score(value) >= self.low
 
 
 def labelled(docs: DataFrame) -> DataFrame:
@@ -217,7 +205,7 @@ def all_spans(raw: bytes, automata: dict[int, Automaton]) -> list[tuple[int, int
     if automata and _DIGIT.search(raw):
         for m in CANDIDATE.finditer(raw):
             v = m[0]
-            if _DIGIT.search(v) and not any(s < m.end() and m.start() < e for s, _, e in out[: len(base)]) and any(a.accepts(v) and a.score(v) >= a.low for a in automata.values()):
+            if _DIGIT.search(v) and not any(s < m.end() and m.start() < e for s, _, e in out[: len(base)]) and any(a.fits(v) for a in automata.values()):
                 out.append((m.start(), 3, m.end()))
     return sorted(out)
 
