@@ -1,0 +1 @@
+"""Kept for operators on streams. Density clustering as specified here is a batch operation, so there is none."""
