@@ -30,7 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+RUN_CHARS = 4_000_000
 CACHE_LENGTH = 64
 #: Fixed value: the pattern by which byte-level vocabularies cut a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -130,7 +131,8 @@ class Encoder:
         reachable = {t: i for t, i in ids.items() if len(t) == 1 or self._merged(t) == (i,)}
         self.automaton = SuffixAutomaton(reachable)
         self.words: dict[str, bytes] = {}
-        self._compatible: dict[tuple[int, int], bool] = {}
+        self._compatible: dict[int, bool] = {}
+        self._base = max(self.bytes_of) + 1
         self._find = regex.compile(PATTERN).findall
         self._added = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
 
@@ -162,13 +164,6 @@ class Encoder:
         pieces on both sides are complete; tokens are unmerged step by step, the
         later merge first, and each seam is looked up.
         """
-        key = (a, b)
-        known = self._compatible.get(key)
-        if known is None:
-            known = self._compatible[key] = self._seam(a, b)
-        return known
-
-    def _seam(self, a: int, b: int) -> bool:
         limit = 1 << 60
         while True:
             found = self.rank.get((a, b))
@@ -187,68 +182,91 @@ class Encoder:
             else:
                 limit, b = rb + 1, pb_[0]
 
-    def word(self, word: bytes) -> list[int]:
-        """Ids of one word by the prefix programme."""
+    def sorted_words(self, words: list[bytes]) -> Iterator[list[int]]:
+        """Ids of words by the prefix programme. Words in ascending order share the prefixes that were filled in last."""
         nxt, link, length, ends = self.automaton.next, self.automaton.link, self.automaton.length, self.automaton.ends
-        n = len(word)
-        last, size = [0] * (n + 1), [0] * (n + 1)
-        known, seam = self._compatible, self.compatible
-        s = matched = 0
-        for i, b in enumerate(word, 1):
-            t = nxt[s].get(b)
-            while t is None:
-                s = link[s]
-                matched = length[s]
+        known, seam, base = self._compatible, self.compatible, self._base
+        states, matches, last, size = [0], [0], [0], [0]
+        before = b""
+        for word in words:
+            at, most = 0, min(len(before), len(word))
+            while at < most and before[at] == word[at]:
+                at += 1
+            del states[at + 1 :], matches[at + 1 :], last[at + 1 :], size[at + 1 :]
+            before = word
+            s, matched = states[at], matches[at]
+            for i in range(at, len(word)):
+                b = word[i]
                 t = nxt[s].get(b)
-            s = t
-            matched += 1
-            for token, k in ends[s]:
-                if k > matched:  # the state also holds longer strings than what was read
-                    continue
-                before = i - k
-                if before == 0:
-                    break
-                pair = (last[before], token)
-                ok = known.get(pair)
-                if ok is None:
-                    ok = seam(*pair)
-                if ok:
-                    break
-            last[i], size[i] = token, k
-        out = []
-        while n:
-            out.append(last[n])
-            n -= size[n]
-        out.reverse()
-        return out
-
-    def _ids(self, word: str) -> bytes:
-        out = array("I", self.word(word.encode())).tobytes()
-        if len(word) <= CACHE_LENGTH:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            self.words[word] = out
-        return out
-
-    def _plain(self, text: str) -> bytes:
-        words = self._find(text)
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            get, ids = self.words.get, self._ids
-            return b"".join([get(w) or ids(w) for w in words])
+                while t is None:
+                    s = link[s]
+                    matched = length[s]
+                    t = nxt[s].get(b)
+                s = t
+                matched += 1
+                for token, k in ends[s]:
+                    if k > matched:  # the state also holds longer strings than what was read
+                        continue
+                    start = i + 1 - k
+                    if start == 0:
+                        break
+                    key = last[start] * base + token
+                    ok = known.get(key)
+                    if ok is None:
+                        ok = known[key] = seam(last[start], token)
+                    if ok:
+                        break
+                states.append(s)
+                matches.append(matched)
+                last.append(token)
+                size.append(k)
+            out, n = [], len(word)
+            while n:
+                out.append(last[n])
+                n -= size[n]
+            out.reverse()
+            yield out
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """Ids of a text as unsigned 32-bit numbers."""
-        if not text:
-            return np.zeros(0, np.uint32)
+    def word(self, word: bytes) -> list[int]:
+        return next(self.sorted_words([word]))
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that aren't kept; short ones are kept from now on."""
+        by_bytes = sorted((w.encode(), w) for w in words)
+        found = {w: array("I", ids).tobytes() for (_, w), ids in zip(by_bytes, self.sorted_words([b for b, _ in by_bytes]), strict=True)}
+        if len(self.words) + len(found) > CACHE_WORDS:
+            self.words.clear()
+        self.words.update((w, i) for w, i in found.items() if len(w) <= CACHE_LENGTH)
+        return found
+
+    def _pieces(self, text: str) -> list[str | bytes]:
+        """A text's words; an added token is the bytes of its id."""
         if self._added is None or not self._added.search(text):
-            return np.frombuffer(self._plain(text), np.uint32)
+            return self._find(text)
         out, at = [], 0
         for m in self._added.finditer(text):
-            out += [self._plain(text[at : m.start()]), array("I", [self.added[m[0]]]).tobytes()]
+            out += [*self._find(text[at : m.start()]), array("I", [self.added[m[0]]]).tobytes()]
             at = m.end()
-        return np.frombuffer(b"".join([*out, self._plain(text[at:])]), np.uint32)
+        return [*out, *self._find(text[at:])]
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of texts as unsigned 32-bit numbers; the words of all are looked up together."""
+        pieces = [self._pieces(t) if t else [] for t in texts]
+        new = {w for p in pieces for w in p if type(w) is str} - self.words.keys()
+        found = self._learn(new) if new else {}
+        out = []
+        for p in pieces:
+            try:
+                out.append(b"".join(map(self.words.__getitem__, p)))
+            except KeyError:  # an added token, a long word, or one that the bound has put out
+                out.append(b"".join([w if type(w) is bytes else self.words.get(w) or found.get(w) or self._again(w) for w in p]))
+        return [np.frombuffer(x, np.uint32) for x in out]
+
+    def _again(self, word: str) -> bytes:
+        return array("I", self.word(word.encode())).tobytes()
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -275,6 +293,18 @@ def texts(column: pa.Array) -> Iterator[str | None]:
     return (x.as_py() for x in column)
 
 
+def encoded(e: Encoder, column: pa.Array) -> Iterator[tuple[str | None, np.ndarray]]:
+    """Each text with its ids, in runs of about RUN_CHARS characters."""
+    run, held = [], 0
+    for t in texts(column):
+        run.append(t)
+        held += len(t or "")
+        if held >= RUN_CHARS:
+            yield from zip(run, e.encode_all(run), strict=True)
+            run, held = [], 0
+    yield from zip(run, e.encode_all(run), strict=True)
+
+
 def bpe(docs: DataFrame, path: str | None = None, ids: bool = True) -> DataFrame:
     """(doc_id, text) to (doc_id, ids, decoded): the ids of each text, and the text that they decode to."""
     path = path or default_path()
@@ -282,7 +312,7 @@ def bpe(docs: DataFrame, path: str | None = None, ids: bool = True) -> DataFrame
     def run(batches):
         e = encoder(path)
         for batch in batches:
-            got = [e.encode(t) for t in texts(batch.column(1))]
+            got = [ids for _, ids in encoded(e, batch.column(1))]
             values = np.concatenate(got) if got else np.zeros(0, np.uint32)
             offsets = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
@@ -300,8 +330,7 @@ def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         decimal = [str(i) for i in range(max(e.bytes_of) + 1)]
         for batch in batches:
             n, a, b = [], [], []
-            for t in texts(batch.column(1)):
-                got = e.encode(t)
+            for _, got in encoded(e, batch.column(1)):
                 n.append(len(got))
                 a.append(hashlib.sha256(",".join(map(decimal.__getitem__, got.tolist())).encode()).hexdigest())
                 b.append(hashlib.sha256(e.decode(got).encode()).hexdigest())

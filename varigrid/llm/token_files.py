@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varigrid.llm.blocks import n_blocks, stored
-from varigrid.llm.bpe import default_path, encoder, texts
+from varigrid.llm.bpe import default_path, encoded, encoder
 
 END_ID = 0
 CHUNK = 8
@@ -118,9 +118,9 @@ def _segments(path: str):
         ids, got, held, inside = [], [], 0, 0
         end = np.array([END_ID], np.uint32)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+            for doc_id, (_, codes) in zip(batch.column(0).to_pylist(), encoded(e, batch.column(1)), strict=True):
                 ids.append(doc_id)
-                got.append(np.concatenate([e.encode(text), end]))
+                got.append(np.concatenate([codes, end]))
                 held += len(got[-1])
                 if held >= SEGMENT_TOKENS:
                     yield row(part, seq, inside, ids, got)
