@@ -19,10 +19,11 @@ ignored; rows with equal doc_id are encoded each for itself.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -182,7 +183,7 @@ class Encoder:
             else:
                 limit, b = rb + 1, pb_[0]
 
-    def sorted_words(self, words: list[bytes]) -> Iterator[list[int]]:
+    def sorted_words(self, words: Iterable[bytes]) -> Iterator[list[int]]:
         """Ids of words by the prefix programme. Words in ascending order share the prefixes that were filled in last."""
         nxt, link, length, ends = self.automaton.next, self.automaton.link, self.automaton.length, self.automaton.ends
         known, seam, base = self._compatible, self.compatible, self._base
@@ -232,8 +233,8 @@ class Encoder:
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words that aren't kept; short ones are kept from now on."""
-        by_bytes = sorted((w.encode(), w) for w in words)
-        found = {w: array("I", ids).tobytes() for (_, w), ids in zip(by_bytes, self.sorted_words([b for b, _ in by_bytes]), strict=True)}
+        order = sorted(words)  # code points and their UTF-8 bytes have the same order
+        found = {w: array("I", ids).tobytes() for w, ids in zip(order, self.sorted_words(w.encode() for w in order), strict=True)}
         if len(self.words) + len(found) > CACHE_WORDS:
             self.words.clear()
         self.words.update((w, i) for w, i in found.items() if len(w) <= CACHE_LENGTH)
@@ -252,7 +253,7 @@ class Encoder:
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of texts as unsigned 32-bit numbers; the words of all are looked up together."""
         pieces = [self._pieces(t) if t else [] for t in texts]
-        new = {w for p in pieces for w in p if type(w) is str} - self.words.keys()
+        new = {w for w in set().union(*pieces) - self.words.keys() if type(w) is str}
         found = self._learn(new) if new else {}
         out = []
         for p in pieces:
@@ -279,6 +280,7 @@ def encoder(path: str) -> Encoder:
     """The worker's encoder of a file, built once."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+        gc.freeze()  # its tables are for good: collections needn't visit them
     return _encoders[path]
 
 

@@ -27,6 +27,7 @@ gives no segment. Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varigrid.llm.blocks import n_blocks, stored
-from varigrid.llm.bpe import default_path, encoded, encoder
+from varigrid.llm.bpe import PATTERN, byte_alphabet, default_path, texts
 
 END_ID = 0
 CHUNK = 8
@@ -101,6 +102,43 @@ class Segment:
         return value
 
 
+class LibraryEncoder:
+    """Ids of a byte-level vocabulary file by the compiled library that takes the vocabulary as ranks.
+
+    Only for files whose ids ascend with their merges, as then rank and id are the
+    same; its ids equal those of the library that the file is made for.
+    """
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab, names = spec["model"]["vocab"], byte_alphabet()
+        merged = [vocab[a + b] for a, b in (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])]
+        if merged != sorted(set(merged)):
+            raise ValueError(f"ids of {path} don't ascend with its merges")
+        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        ranks = {bytes(map(names.__getitem__, t)): i for t, i in vocab.items() if t not in self.added}
+        self.codes = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.added)
+
+    def encode(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.zeros(0, np.uint32)
+        if any(t in text for t in self.added):
+            return np.array(self.codes.encode(text, allowed_special="all"), np.uint32)
+        return np.array(self.codes.encode_ordinary(text), np.uint32)
+
+
+_encoders: dict[str, LibraryEncoder] = {}
+
+
+def library_encoder(path: str) -> LibraryEncoder:
+    if path not in _encoders:
+        _encoders[path] = LibraryEncoder(path)
+    return _encoders[path]
+
+
 def _segments(path: str):
     """mapInArrow over sorted documents: the partition's segments, without their place in the whole."""
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("inside", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("nulls", pa.binary()), ("doc_starts", pa.binary()), ("levels", _LEVEL_TYPE)])
@@ -114,13 +152,13 @@ def _segments(path: str):
     def run(batches):
         from pyspark import TaskContext
 
-        e, part, seq = encoder(path), TaskContext.get().partitionId(), 0
+        e, part, seq = library_encoder(path), TaskContext.get().partitionId(), 0
         ids, got, held, inside = [], [], 0, 0
         end = np.array([END_ID], np.uint32)
         for batch in batches:
-            for doc_id, (_, codes) in zip(batch.column(0).to_pylist(), encoded(e, batch.column(1)), strict=True):
+            for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
                 ids.append(doc_id)
-                got.append(np.concatenate([codes, end]))
+                got.append(np.concatenate([e.encode(text), end]))
                 held += len(got[-1])
                 if held >= SEGMENT_TOKENS:
                     yield row(part, seq, inside, ids, got)
