@@ -225,7 +225,7 @@ def test_secrets(table):
     rows += [(100, mixed), (101, None), (102, ""), (None, mixed), (103, "Q" + keys[0][:39] + " 4111111111111111 sha")]
     found = {r.doc_id: [(x.kind, x.start, x.end) for x in r.spans] for r in secret_scan.secret_scan(table(rows)).collect()}
     a = mixed.index("password")
-    assert found[100] == found[None] == [("access", 2, 22), ("assign", a, a + 15), ("assign", mixed.index("api"), mixed.index(" 0123")), ("hex", len(mixed) - 24, len(mixed))]
+    assert found[100] == found[None] == [("access", 2, 22), ("assign", a, a + 15), ("assign", mixed.index("api"), mixed.index("' 0123")), ("hex", len(mixed) - 24, len(mixed))]
     assert found[101] == found[102] == []
     assert found[0] == [("assign", 4, 53), ("hex", 13, 53), ("hex", 59, 99)]
     assert [k for k, _, _ in found[103]] == ["hex"]

@@ -15,4 +15,30 @@ QUERIES = {
     "op9_substring_dedup": substring_dedup.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"""words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all({text}, '[^\x09-\x0D\x20]+') AS w FROM documents)),
+n AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id)"""
+
+_NEAR_DUPLICATES = f"""WITH RECURSIVE {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")},
+runs AS (SELECT words.doc_id, n, i, string_agg(word, ' ') OVER (PARTITION BY words.doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s FROM words JOIN n ON words.doc_id = n.doc_id),
+shingles AS (SELECT DISTINCT doc_id, md5(s) AS s FROM runs WHERE i <= greatest(n - 4, 1)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM both_ JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach(doc_id, low) AS (SELECT doc_id, doc_id FROM documents UNION SELECT links.b, reach.low FROM reach JOIN links ON reach.doc_id = links.a WHERE reach.low < links.b),
+least_ AS (SELECT doc_id, min(low) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(sizes.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN least_ ON d.doc_id = least_.doc_id LEFT JOIN sizes ON d.doc_id = sizes.doc_id"""
+
+_SUBSTRINGS = f"""WITH {_WORDS.format(text="coalesce(text, '')")},
+runs AS (SELECT words.doc_id, word, i, n, md5(string_agg(word, ' ') OVER (PARTITION BY words.doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) AS s FROM words JOIN n ON words.doc_id = n.doc_id),
+first_ AS (SELECT s, min(doc_id) AS f FROM runs WHERE i <= n - 49 GROUP BY s),
+hits AS (SELECT runs.*, CASE WHEN i <= n - 49 AND f < doc_id THEN 1 ELSE 0 END AS hit FROM runs LEFT JOIN first_ ON runs.s = first_.s),
+marked AS (SELECT *, max(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM hits),
+done AS (SELECT doc_id, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(CASE WHEN gone = 0 THEN word END, ' ' ORDER BY i) AS kept FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN done ON d.doc_id = done.doc_id"""
+
+#: The others aren't expressible: models, vocabularies and page trees; they are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_dedup": _NEAR_DUPLICATES,
+    "op9_substring_dedup": _SUBSTRINGS,
+}
