@@ -8,6 +8,8 @@ shard once per block, and each shard answers once per block.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 
 import numpy as np
@@ -22,6 +24,21 @@ __all__ = ["shared_dir", "stored"]
 BLOCK_BYTES = 8 << 20
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Bound what a Python worker gets at once, where the session leaves Spark's defaults; returns the frame."""
+    conf = df.sparkSession.conf
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))):
+        if conf.get(key, None) is None:
+            conf.set(key, value)
+    return df
+
+
+def free_memory() -> None:
+    """Give a worker's freed memory back, as idle workers stay beside the running ones."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def input_bytes(df: DataFrame) -> int:
     """The planner's size of what a frame reads: for files their length, without reading them."""
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()

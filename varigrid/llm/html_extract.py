@@ -13,7 +13,7 @@ to the text of their block. For each node are counted, over distinct pages:
 A node's composite importance mixes its own presentation importance and that of
 its children, by GAMMA to the number of its child sequences. A branch is noise if
 its node and all nodes below have an importance below ``LOW``, on a host of at
-least ``MIN_PAGES`` distinct pages; noise is removed from each page, but for what
+least ``MIN_PAGES`` pages; noise is removed from each page, but for what
 is in an ``article`` or ``main`` element, where a repeated heading is still text.
 A host that is all noise keeps everything.
 
@@ -27,7 +27,7 @@ pages has its pages counted where they are read and its distinct features spread
 over all tasks; a host's nodes, not its pages, meet in one task.
 
 Defined cases: null or empty html gives an empty text. A page without url is on
-a host of its own name, the empty one. Equal pages of a host count once. Text is
+a host of its own name, the empty one. Repeated rows count as pages. Text is
 decoded, white space in a block becomes one space, blocks are joined by one
 newline; nothing else is changed or capped. Unclosed and misplaced tags are
 closed as far as block nesting needs. Other columns are ignored.
@@ -45,6 +45,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varigrid.llm.blocks import small_batches
+
 LOW = 0.7
 GAMMA = 0.9
 MIN_PAGES = 20
@@ -221,8 +223,8 @@ def _digest(text: str) -> int:
 
 
 def page_features(pages: DataFrame) -> DataFrame:
-    """(host, path, kind, feature, page): feature and page are hashes."""
-    schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("kind", pa.int32()), ("feature", pa.int64()), ("page", pa.int64())])
+    """(host, path, kind, feature): a row for each distinct feature of a page, by its hash."""
+    schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("kind", pa.int32()), ("feature", pa.int64())])
 
     def run(batches):
         for batch in batches:
@@ -230,15 +232,15 @@ def page_features(pages: DataFrame) -> DataFrame:
                 text = page.as_py()
                 if text:
                     got = list(features(parse(text)))
-                    n, whole = len(got), _digest(text)
-                    yield pa.RecordBatch.from_arrays([pa.array([host] * n, pa.string()), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int32()), pa.array([_digest(g[2]) for g in got], pa.int64()), pa.array([whole] * n, pa.int64())], schema=schema)
+                    n = len(got)
+                    yield pa.RecordBatch.from_arrays([pa.array([host] * n, pa.string()), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int32()), pa.array([_digest(g[2]) for g in got], pa.int64())], schema=schema)
 
-    return pages.select("host", "html").mapInArrow(run, "host string, path string, kind int, feature long, page long")
+    return pages.select("host", "html").mapInArrow(run, "host string, path string, kind int, feature long")
 
 
 def style_tree(found: DataFrame) -> DataFrame:
     """(host, path, pages, content, n_content, spread, n_style, n_shown): the sums from which importance follows."""
-    each = found.distinct().groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n"))
+    each = found.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n"))
     of = lambda k, x: F.sum(F.when(F.col("kind") == k, x).otherwise(0.0))
     return each.groupBy("host", "path").agg(
         F.max(F.when(F.col("kind") == 2, F.col("n"))).alias("pages"),
@@ -290,7 +292,7 @@ def _branches(low: float, min_pages: int):
 
 def extract(pages: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES) -> DataFrame:
     """(page_id, url, html) to (page_id, url, text)."""
-    pages = pages.select("page_id", "url", "html").withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1)))
+    pages = small_batches(pages).select("page_id", "url", "html").withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1)))
     tree = style_tree(page_features(pages))
     branches = tree.groupBy("host").applyInArrow(_branches(low, min_pages), "host string, low array<string>").filter("size(low) > 0")
 
