@@ -10,7 +10,7 @@ pair alone, merged by rank, stays this pair. Exactly one token passes.
 Back-pointers then give the ids.
 
 Texts are cut into words by the vocabulary file's own pattern; each worker keeps
-the ids of words that it has met, up to a bound.
+the ids of words and the answers for pairs that it has met, up to bounds.
 
 Defined cases: null text is empty and has no ids. The added tokens of the file
 are found in the text first, leftmost, as the library does. Other columns are
@@ -31,8 +31,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 1_000_000
-RUN_CHARS = 4_000_000
+from varigrid.llm.blocks import free_memory, small_batches
+
+CACHE_WORDS = 600_000
+CACHE_PAIRS = 400_000
+RUN_CHARS = 2_000_000
 CACHE_LENGTH = 64
 #: Fixed value: the pattern by which byte-level vocabularies cut a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -237,6 +240,8 @@ class Encoder:
         found = {w: array("I", ids).tobytes() for w, ids in zip(order, self.sorted_words(w.encode() for w in order), strict=True)}
         if len(self.words) + len(found) > CACHE_WORDS:
             self.words.clear()
+        if len(self._compatible) > CACHE_PAIRS:
+            self._compatible.clear()
         self.words.update((w, i) for w, i in found.items() if len(w) <= CACHE_LENGTH)
         return found
 
@@ -295,6 +300,12 @@ def texts(column: pa.Array) -> Iterator[str | None]:
     return (x.as_py() for x in column)
 
 
+def finished(e: Encoder) -> None:
+    """At the end of a task: other operators' workers need the memory."""
+    e.words.clear()
+    free_memory()
+
+
 def encoded(e: Encoder, column: pa.Array) -> Iterator[tuple[str | None, np.ndarray]]:
     """Each text with its ids, in runs of about RUN_CHARS characters."""
     run, held = [], 0
@@ -319,8 +330,9 @@ def bpe(docs: DataFrame, path: str | None = None, ids: bool = True) -> DataFrame
             offsets = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array([e.decode(g) for g in got], pa.string())], names=["doc_id", "ids", "decoded"])
+        finished(e)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
 def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -337,8 +349,9 @@ def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 a.append(hashlib.sha256(",".join(map(decimal.__getitem__, got.tolist())).encode()).hexdigest())
                 b.append(hashlib.sha256(e.decode(got).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finished(e)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

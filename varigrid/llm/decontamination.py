@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varigrid.llm.blocks import pack, unpack
+from varigrid.llm.blocks import pack, small_batches, unpack
 from varigrid.llm.textvec import mix, word_chunks
 
 TERMS = 1 << 18
@@ -47,6 +47,7 @@ NEAR = 0.5
 COVER = 0.8
 REWORDED = 0.6
 ANSWER = 5
+RUN = 256
 _SLICES = 64
 _MASK = np.uint64(TERMS - 1)
 
@@ -206,8 +207,8 @@ class Round:
     def candidates(self, words):
         """(row, first word, end word, passage, cosine), in runs of bounded size."""
         found, place, w = self.windows(words)
-        for at in range(0, len(found), 2048):
-            some = found[at : at + 2048]
+        for at in range(0, len(found), RUN):
+            some = found[at : at + RUN]
             n = some[:, 2] - some[:, 1]
             starts = np.concatenate([[0], np.cumsum(n)[:-1]])
             index = np.repeat(some[:, 1] - starts, n) + np.arange(n.sum())
@@ -299,7 +300,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item_words, cosine, and the place in the document's words.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     weights = term_weights(*document_frequencies(docs))
     found = None
     for items in _rounds(benchmark):

@@ -29,6 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varigrid.llm.blocks import small_batches
 from varigrid.llm.textvec import _LOWER, _SPACE, string_buffers
 
 BUCKETS = 1 << 16
@@ -162,7 +163,7 @@ def train(text: list[str], lang: list[str], seed: int = 7) -> LanguageModel:
     parts = []
     for t in text:
         raw = np.frombuffer(t.encode()[:SAMPLE_CHARS], np.uint8)
-        parts.append(subwords(raw, np.array([0, len(raw)]))[0].astype(np.int64))
+        parts.append(subwords(raw, np.array([0, len(raw)]))[0].astype(np.uint16))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(parts))
     held, fit = order[: len(order) // 5], order[len(order) // 5 :]
@@ -178,7 +179,7 @@ def train(text: list[str], lang: list[str], seed: int = 7) -> LanguageModel:
             if not ids:
                 continue
             n = np.array([len(parts[i]) for i in ids])
-            flat = np.concatenate([parts[i] for i in ids])
+            flat = np.concatenate([parts[i] for i in ids]).astype(np.int64)
             starts = np.concatenate([[0], np.cumsum(n)[:-1]])
             mean = np.add.reduceat(emb[flat], starts) / n[:, None]
             g = softmax(mean @ w + bias)
@@ -242,7 +243,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             rejected = (score < shared.value.threshold) | (np.array(lang, object) == "und").astype(bool)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -254,7 +255,7 @@ def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
         lang, score = shared.value.predict(pa.array(column, pa.string(), from_pandas=True))
         return pd.Series((score >= shared.value.threshold) & (np.array(lang, object) != "und"))
 
-    return docs.filter(sure("text"))
+    return small_batches(docs).filter(sure("text"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

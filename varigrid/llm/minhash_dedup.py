@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varigrid.llm.blocks import stored
+from varigrid.llm.blocks import small_batches, stored
 from varigrid.llm.textvec import mix, run_hashes, word_chunks
 from varigrid.plans.components import connected_components
 
@@ -216,7 +216,7 @@ def _sets(shingle: int):
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, agree: float = AGREE, group: int = GROUP) -> DataFrame:
     """(doc_id, text) to (doc_id, n_shingles, component_id, kept)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sk = stored(sketches(docs, shingle, bands, rows), "sketches")
     known = sk.filter("doc_id IS NOT NULL AND d1 IS NOT NULL")
     classes = stored(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("n").alias("n")), "classes")

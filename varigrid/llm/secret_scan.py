@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from varigrid.llm.blocks import small_batches
 from varigrid.llm.bpe import texts
 
 KINDS = ("assign", "access", "hex", "format")
@@ -184,7 +185,7 @@ def labelled(docs: DataFrame) -> DataFrame:
                         values.append(raw[at : min(end, at + 200)])
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(values, pa.binary())], names=["kind", "value"])
 
-    return docs.select("text").mapInArrow(run, "kind int, value binary")
+    return small_batches(docs).select("text").mapInArrow(run, "kind int, value binary")
 
 
 def infer(docs: DataFrame, per_kind: int = TRAIN_PER_KIND, min_train: int = MIN_TRAIN) -> dict[int, Automaton]:
@@ -240,7 +241,7 @@ def secret_scan(docs: DataFrame, automata: dict[int, Automaton] | None = None) -
                 base.append([x for x in got if x["kind"] != "format"])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, kind), pa.array(spans, kind)], names=["doc_id", "base", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, base array<struct<kind:string,start:bigint,end:bigint>>, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, base array<struct<kind:string,start:bigint,end:bigint>>, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def without_secrets(docs: DataFrame, automata: dict[int, Automaton] | None = None, mark: str = "[secret]") -> DataFrame:
@@ -267,7 +268,7 @@ def without_secrets(docs: DataFrame, automata: dict[int, Automaton] | None = Non
 
         return column.map(one)
 
-    return docs.withColumn("text", clean("text"))
+    return small_batches(docs).withColumn("text", clean("text"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varigrid.llm.blocks import n_blocks, stored
+from varigrid.llm.blocks import n_blocks, small_batches, stored
 from varigrid.llm.bpe import PATTERN, byte_alphabet, default_path, texts
 
 END_ID = 0
@@ -178,7 +178,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, name: str = "tokens")
     """
     path = path or default_path()
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = n_blocks(docs)
     ranged = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
     codes = stored(ranged.mapInArrow(_segments(path), _PART), f"{name}-segments")
