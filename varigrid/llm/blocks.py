@@ -13,7 +13,7 @@ import ctypes
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varigrid.llm.textvec import from_planes, planes
@@ -39,6 +39,24 @@ def free_memory() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+_HASHES = 1 << 31
+
+
+def hash_place(key: Column) -> Column:
+    """A row's place in a sample order that doesn't depend on partitions."""
+    return F.pmod(key, F.lit(_HASHES))
+
+
+def first_by_hash(place: Column, rows: int, wanted: int) -> Column:
+    """Whether a row can be among the first ``wanted`` of ``rows`` by hash: a little more than ``wanted`` pass.
+
+    What the driver takes so doesn't grow with the number of partitions, as it
+    does where each partition sends its own first rows.
+    """
+    share = (wanted + 10 * math.sqrt(wanted) + 50) / max(rows, 1)
+    return place < F.lit(int(min(1.0, share) * _HASHES))
+
+
 def input_bytes(df: DataFrame) -> int:
     """The planner's size of what a frame reads: for files their length, without reading them."""
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()

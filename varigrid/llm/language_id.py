@@ -20,7 +20,9 @@ inputs of a prediction.
 
 from __future__ import annotations
 
+import operator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varigrid.llm.blocks import small_batches
+from varigrid.llm.blocks import first_by_hash, hash_place, small_batches
 from varigrid.llm.textvec import _LOWER, _SPACE, string_buffers
 
 BUCKETS = 1 << 16
@@ -219,14 +221,19 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], lis
     Rows whose crc32(doc_id) has remainder 2 by 4 are held out.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
-    langs = sorted(r[0] for r in rows.select("lang").distinct().limit(1001).collect())
-    if len(langs) > 1000:
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(1001).collect()}
+    if len(counts) > 1000:
         raise ValueError("more than 1000 labels")
-    got: list = []
-    short = rows.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("doc_id").alias("h"))
-    for lang in langs:
-        got += short.filter(F.col("lang") == lang).orderBy("h", "text").limit(max(1, sample // len(langs))).select("text", "lang").collect()
-    return [r.text for r in got], [r.lang for r in got]
+    if not counts:
+        return [], []
+    each = max(1, sample // len(counts))
+    place = hash_place(F.xxhash64("doc_id"))
+    likely = reduce(operator.or_, [(F.col("lang") == lang) & first_by_hash(place, n, each) for lang, n in counts.items()])
+    got = rows.filter(likely).select("lang", place.alias("place"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
+    out = []
+    for lang in sorted(counts):
+        out += sorted((r.place, r.text, lang) for r in got if r.lang == lang)[:each]
+    return [t for _, t, _ in out], [lang for _, _, lang in out]
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
