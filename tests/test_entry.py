@@ -22,7 +22,8 @@ def duck(sf_dir):
     c = duckdb.connect()
     for t in os.listdir(sf_dir):
         c.execute(f"CREATE VIEW {t.removesuffix('.parquet')} AS SELECT * FROM '{sf_dir}/{t}'")
-    return c
+    yield c
+    c.close()
 
 
 @pytest.mark.parametrize("name", sorted(set(core.QUERIES) - SLOW - {"dbscan_events"}))
