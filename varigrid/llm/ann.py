@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varigrid.llm.blocks import stored
+from varigrid.llm.blocks import first_by_hash, hash_place, small_batches, stored
 
 TREES = 8
 LEAF = 64
@@ -210,11 +210,11 @@ def _parts(spark, sizes: dict, asked: dict) -> DataFrame:
 def neighbours(vectors: DataFrame, queries, k: int = K, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, search: int = SEARCH, share: float = SHARE) -> DataFrame:
     """(vec_id, embedding) to (query_id, rank, vec_id, score): the k nearest found of each row for which ``queries``, a column, holds."""
     spark = vectors.sparkSession
-    rows = usable(vectors)
+    rows = usable(small_batches(vectors))
     index = stored(distinct_vectors(rows, k), "vectors")
-    # A sample by the hash of the id does not depend on partitions.
-    first = index.select("v", "key").orderBy(F.xxhash64("key"), "key").limit(sample)
-    points = np.array([r.v for r in first.collect()])
+    place = hash_place(F.xxhash64("key"))
+    some = index.filter(first_by_hash(place, index.count(), sample)).select("v", "key", place.alias("place")).collect()
+    points = np.array([r.v for r in sorted(some, key=lambda r: (r.place, r.key))[:sample]])
     forest = plant(points.reshape(len(points), -1), trees, leaf) if len(points) else []
     shared = spark.sparkContext.broadcast(forest)
     dealt = stored(index.select("key", "v").mapInArrow(_deal(shared), "tree int, leaf int, key long, v array<double>"), "leaves")
