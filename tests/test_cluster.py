@@ -78,10 +78,10 @@ def test_textbook_border_and_ids_in_any_row_order(spark):
 
 def test_diagonal(spark):
     x = [3, 2, 8, 1]
-    out = C.VariantDBSCAN([math.sqrt(2) + 0.01, math.sqrt(2) - 0.01], [2, 2], x, x, spark=spark)
+    out = C.cluster_arrays([math.sqrt(2) + 0.01, math.sqrt(2) - 0.01], [2, 2], x, x, spark=spark)
     assert out.T.tolist() == [[1, 1, 0, 1], [0, 0, 0, 0]]
-    assert C.VariantDBSCAN([2.0], [2], x, x, spark=spark).shape == (4,)
-    assert C.VariantDBSCAN([2.0], [2], [], [], spark=spark).shape == (0,)
+    assert C.cluster_arrays([2.0], [2], x, x, spark=spark).shape == (4,)
+    assert C.cluster_arrays([2.0], [2], [], [], spark=spark).shape == (0,)
 
 
 def test_defined_cases(spark):

@@ -139,7 +139,7 @@ def variant_dbscan(points: DataFrame, eps: Sequence[float], minpts: Sequence[flo
     return label(points, place, stored(variant_edges(place, rows), "pairs"), rows, border, reuse)
 
 
-def VariantDBSCAN(eps_array, mp_array, x_array, y_array, mbbsize: int = 70, verbose: bool = False, spark=None):  # noqa: N802
+def cluster_arrays(eps_array, mp_array, x_array, y_array, mbbsize: int = 70, verbose: bool = False, spark=None):
     """Labels of in-memory points as a numpy array: (points,) for one setting, else (points, settings)."""
     import logging
 
