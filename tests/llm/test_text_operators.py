@@ -286,6 +286,14 @@ def test_decontamination(spark, table):
     assert decontamination.contamination(docs, benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_finds_each_of_many_items(spark):
+    items = [(k, prose(5000 + k, 30)) for k in range(1100)]
+    docs = spark.createDataFrame([(k, " ".join(t for _, t in items[5 * k : 5 * k + 5])) for k in range(220)], "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contamination(docs, benchmark).collect()}
+    assert got == {(k // 5, k) for k in range(1100)}
+
+
 def test_latent_space_is_the_svd(spark):
     rng = np.random.default_rng(0)
     a = rng.normal(size=(12, 5)) @ rng.normal(size=(5, 9))

@@ -5,7 +5,9 @@
 2. Benchmark items are cut into passages of at most ``PASSAGE`` words. A randomised
    SVD of their TF-IDF rows (random start, one subspace step, both as sums over
    partitions; the driver sees Gram matrices and the term vectors of one round of
-   at most ``ROUND`` passages) gives up to ``RANK`` latent directions.
+   at most ``ROUND`` passages, or of one longer item) gives the latent directions.
+   Its rank exceeds the round's passages, so the directions span all of them and
+   no number of items costs a passage its own direction.
 3. Each document is cut into overlapping windows of two sizes, ``HOP`` words apart.
    A window whose share of benchmark terms cannot reach the cosine ``NEAR`` is
    dropped by an exact bound; the others are projected, with the norm of the whole
@@ -39,8 +41,8 @@ from varigrid.llm.textvec import mix, word_chunks
 TERMS = 1 << 18
 FLOOR = 0.05
 PASSAGE = 56
-RANK = 256
-ROUND = 2048
+RANK = 320
+ROUND = 256
 HOP = 8
 SIZES = (3, 8)
 NEAR = 0.5
@@ -99,8 +101,10 @@ class Item:
 
 
 def _row(words: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms and weights of a passage, of unit length, so that a passage of light words has its direction too."""
     terms, tf = np.unique((words & _MASK).astype(np.int64), return_counts=True)
-    return terms, tf * weights[terms]
+    w = tf * weights[terms]
+    return terms, w / np.linalg.norm(w)
 
 
 def _start(terms: np.ndarray, rank: int) -> np.ndarray:
@@ -141,7 +145,7 @@ def latent_space(passages: DataFrame, rank: int = RANK) -> tuple[np.ndarray, np.
     terms = np.array([r.term for r in got], np.int64)
     z = np.array([np.frombuffer(r.z) for r in got]).reshape(len(got), rank)
     value, vec = np.linalg.eigh(z.T @ z)
-    keep = value > max(value[-1], 0) * 1e-10
+    keep = value > max(value[-1], 0) * 1e-13
     q = z @ (vec[:, keep] / np.sqrt(value[keep]))
 
     def gram(batches):
@@ -170,8 +174,7 @@ class Round:
         for i, item in enumerate(items):
             for start, words in item.passages():
                 t, w = _row(words, weights)
-                v = w @ self.latent[self.place[t]]
-                vectors.append(v / max(np.linalg.norm(w), 1e-9))
+                vectors.append(w @ self.latent[self.place[t]])
                 self.owner.append(i)
                 self.offset.append(start)
         self.vectors = np.array(vectors, np.float32).reshape(len(vectors), latent.shape[1])
@@ -305,7 +308,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = None
     for items in _rounds(benchmark):
         rows = [[x.tolist() for x in _row(words, weights)] for item in items for _, words in item.passages()]
-        terms, latent = latent_space(spark.createDataFrame(rows, "terms array<long>, weights array<double>"))
+        terms, latent = latent_space(spark.createDataFrame(rows, "terms array<long>, weights array<double>"), max(RANK, len(rows) * RANK // ROUND))
         shared = spark.sparkContext.broadcast(Round(items, weights, terms, latent))
         more = docs.mapInArrow(_search(shared), _FOUND)
         found = more if found is None else found.unionByName(more)
