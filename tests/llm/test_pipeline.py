@@ -27,6 +27,18 @@ def test_stages_in_order(spark, sf_dir):
     assert {r.doc_id: r.n_tokens for r in docs.collect()} == {i: len(e.encode(t)) for i, t in before.items()}
 
 
+def test_near_dedup_links_from_eight_tenths(spark):
+    """Common starts of 204 words of 200 shingles; a pair's own ends have n shingles each, so similarity is 200 / (200 + 2n)."""
+    rows = []
+    for k, n in enumerate([20, 22, 24, 25, 26, 30] * 5):
+        start = " ".join(f"w{k}s{i}" for i in range(204))
+        rows += [(10 * k + j, start + "".join(f" w{k}e{j}x{i}" for i in range(n))) for j in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    gone = {10 * k + 1 for k, n in enumerate([20, 22, 24, 25, 26, 30] * 5) if n <= 25}
+    assert kept == {i for i, _ in rows} - gone
+
+
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names
