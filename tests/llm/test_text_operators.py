@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import zlib
 
 import numpy as np
@@ -294,6 +295,23 @@ def test_decontamination_finds_each_of_many_items(spark):
     assert got == {(k // 5, k) for k in range(1100)}
 
 
+def test_decontamination_finds_items_reworded_down_to_the_rule(spark):
+    """Two fifths of each item's words replaced by others, the answer left: the rule accepts it, so a candidate must be there."""
+    r = random.Random(9)
+    items = [(k, prose(7000 + k, 15 + k % 45)) for k in range(100)] + [(100, prose(7100, 140)), (101, prose(7101, 84))]
+    rows = []
+    for k, text in items:
+        words = text.split()
+        n = len(words)
+        tail = max(3, -(-n // 5))
+        for i in r.sample(range(n - tail), 2 * n // 5):
+            words[i] = f"other{r.randrange(10**6)}"
+        rows.append((k, f"{prose(8000 + k, 100 + k)} {' '.join(words)} {prose(9000 + k, 100)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(k, k) for k, _ in items}
+
+
 def test_latent_space_is_the_svd(spark):
     rng = np.random.default_rng(0)
     a = rng.normal(size=(12, 5)) @ rng.normal(size=(5, 9))

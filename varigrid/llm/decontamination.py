@@ -8,14 +8,20 @@
    at most ``ROUND`` passages, or of one longer item) gives the latent directions.
    Its rank exceeds the round's passages, so the directions span all of them and
    no number of items costs a passage its own direction.
-3. Each document is cut into overlapping windows of two sizes, ``HOP`` words apart.
-   A window whose share of benchmark terms cannot reach the cosine ``NEAR`` is
-   dropped by an exact bound; the others are projected, with the norm of the whole
-   window, and compared with all passages of the round.
-4. Around each window and item above ``NEAR`` the longest common subsequence of
-   words is taken. An item is in the document if it covers ``COVER`` of its words,
-   or ``REWORDED`` of them and the answer, the item's last fifth and three words at
-   least, is there in full and in order.
+3. Each document is cut into hops of ``HOP`` words. The projection of a hop on all
+   passages of the round is a sum over its words; windows are sums over hops. A
+   window and a passage become candidates
+   a. if, in windows of ``SIZES`` hops, their cosine can reach ``NEAR`` (the norm is
+      bounded from below by each word's own weight), or
+   b. if, in windows that hold any run of words twice as long as the passage, the
+      product reaches the least one that step 4 can accept, and the window has as
+      many words of the passage. Both are exact bounds: whatever words are replaced, the
+      least sum that the rule leaves is taken (less ``SLACK`` for rounding).
+4. Around each candidate the longest common subsequence of words is taken. An item
+   is in the document if it covers ``COVER`` of its words, or ``REWORDED`` of them
+   and the answer, the item's last fifth and three words at least, is there in full
+   and in order. An item of several passages has ``REWORDED`` of the words of one
+   of them at least, which is what (b) asks of its passages.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Window texts are read whole;
 no item and no document has a cap.
@@ -49,7 +55,9 @@ NEAR = 0.5
 COVER = 0.8
 REWORDED = 0.6
 ANSWER = 5
-RUN = 256
+STRETCH = 2
+SLACK = 1e-3
+RUN = 512
 _SLICES = 64
 _MASK = np.uint64(TERMS - 1)
 
@@ -94,10 +102,40 @@ class Item:
     words: np.ndarray
 
     def passages(self):
+        """First word and words of each passage: the item in even parts of 28 to 84 words, or whole."""
         n = len(self.words)
-        step = PASSAGE if n > PASSAGE else max(n, 1)
-        starts = list(range(0, max(n - PASSAGE // 2, 1), step))
-        return [(s, self.words[s : s + PASSAGE]) for s in starts if n]
+        parts = max(1, -(-(n - PASSAGE // 2) // PASSAGE))
+        cuts = [n * k // parts for k in range(parts + 1)]
+        return [(a, self.words[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+
+    @property
+    def answer(self) -> int:
+        n = len(self.words)
+        return min(n, max(3, -(-n // ANSWER)))
+
+
+def _share(part: float, n: int) -> int:
+    """The least whole number that is at least this share of n, as the rule compares them."""
+    k = int(part * n)
+    return k if k >= part * n else k + 1
+
+
+def least_product(item: Item, words: np.ndarray, weights: np.ndarray) -> float:
+    """The least product with the unit passage of a text that holds what the rule asks of the passage.
+
+    A word adds its weight times the passage's. Of an item of one passage, the
+    answer's words are there or else COVER of all words; the rest may be the lightest.
+    """
+    buckets = (words & _MASK).astype(np.int64)
+    terms, row = _row(words, weights)
+    each = weights[buckets] * row[np.searchsorted(terms, buckets)]
+    n = len(words)
+    lightest = lambda x, k: float(np.sort(x)[: max(k, 0)].sum())
+    if n < len(item.words):
+        return lightest(each, _share(REWORDED, n))
+    tail = item.answer
+    reworded = float(each[n - tail :].sum()) + lightest(each[: n - tail], _share(REWORDED, n) - tail)
+    return min(lightest(each, _share(COVER, n)), reworded)
 
 
 def _row(words: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,15 +207,23 @@ class Round:
         self.items, self.weights = items, weights
         self.place = np.zeros(TERMS, np.int32)
         self.place[terms] = np.arange(1, len(terms) + 1)
-        self.latent = np.vstack([np.zeros((1, latent.shape[1]), np.float32), latent])
-        vectors, self.owner, self.offset = [], [], []
-        for i, item in enumerate(items):
-            for start, words in item.passages():
-                t, w = _row(words, weights)
-                vectors.append(w @ self.latent[self.place[t]])
-                self.owner.append(i)
-                self.offset.append(start)
-        self.vectors = np.array(vectors, np.float32).reshape(len(vectors), latent.shape[1])
+        passages = sorted(((i, start, words) for i, item in enumerate(items) for start, words in item.passages()), key=lambda x: len(x[2]))
+        latent = np.vstack([np.zeros((1, latent.shape[1]), np.float32), latent])
+        self.owner, self.offset = [i for i, _, _ in passages], [start for _, start, _ in passages]
+        vectors, self.least, sizes = [], [], []
+        self.inside = np.zeros((len(latent), len(passages)), bool)
+        for k, (i, _, words) in enumerate(passages):
+            t, w = _row(words, weights)
+            vectors.append(w @ latent[self.place[t]])
+            self.least.append(least_product(items[i], words, weights) * (1 - SLACK))
+            sizes.append(-(-(STRETCH * len(words) + HOP - 1) // HOP))
+            self.inside[self.place[t], k] = True
+        self.least = np.array(self.least)
+        self.need = np.array([_share(REWORDED, len(words)) for _, _, words in passages])
+        self.groups = [(size, slice(sizes.index(size), sizes.index(size) + sizes.count(size))) for size in sorted(set(sizes))]
+        self.widest = max([*SIZES, *sizes])
+        # what an occurrence of a term adds to the product with each passage
+        self.toward = (latent @ np.array(vectors, np.float32).T) * np.concatenate([[0], weights[terms]]).astype(np.float32)[:, None]
         self.bits = []
         for item in items:
             masks: dict[int, int] = {}
@@ -185,46 +231,56 @@ class Round:
                 masks[h] = masks.get(h, 0) | 1 << i
             self.bits.append(masks)
 
-    def windows(self, words):
-        """(row, first word, end word) of windows that can reach the cosine."""
+    def candidates(self, words):
+        """(row, first word, end word, passage, cosine), in runs of bounded size."""
         bucket = (words.hashes & _MASK).astype(np.int64)
         place = self.place[bucket]
-        w = self.weights[bucket]
-        square = w * w
-        all_ = np.concatenate([[0.0], np.cumsum(square, dtype=np.float64)])
-        ours = np.concatenate([[0.0], np.cumsum(np.where(place > 0, square, 0), dtype=np.float64)])
+        square = np.concatenate([[0.0], np.cumsum(self.weights[bucket].astype(np.float64) ** 2)])
         hops = -(-words.counts // HOP)
         row = np.repeat(np.arange(len(hops)), hops)
-        before = np.concatenate([[0], np.cumsum(hops)[:-1]])
-        start = words.first[row] + (np.arange(len(row)) - before[row]) * HOP
-        out = []
-        for size in SIZES:
-            end = np.minimum(start + size * HOP, words.first[row + 1])
-            hit = ours[end] - ours[start] >= NEAR * NEAR * (all_[end] - all_[start])
-            if size != SIZES[0]:  # a short document's larger window is its smaller one again
-                hit &= (start == words.first[row]) | (end - start > SIZES[0] * HOP)
-            hit &= ours[end] > ours[start]
-            out.append(np.stack([row[hit], start[hit], end[hit]], 1))
-        return np.concatenate(out), place, w
-
-    def candidates(self, words):
-        """(row, first word, end word, passage, cosine), in runs of bounded size."""
-        found, place, w = self.windows(words)
-        for at in range(0, len(found), RUN):
-            some = found[at : at + RUN]
-            n = some[:, 2] - some[:, 1]
-            starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-            index = np.repeat(some[:, 1] - starts, n) + np.arange(n.sum())
-            # equal words of a window add up to its term frequency; the norm is taken over terms
-            vec = np.add.reduceat(self.latent[place[index]] * w[index][:, None], starts)
-            term = (words.hashes[index] & _MASK).astype(np.int64)
-            key = np.repeat(np.arange(len(some)), n) * TERMS + term
-            u, tf = np.unique(key, return_counts=True)
-            norm = np.sqrt(np.bincount(u // TERMS, (tf * self.weights[u % TERMS]) ** 2, len(some)))
-            cos = vec @ self.vectors.T / np.maximum(norm, 1e-9)[:, None]
-            i, j = np.nonzero(cos >= NEAR)
-            for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                yield (*some[a].tolist(), b, float(cos[a, b]))
+        last = np.cumsum(hops)  # the end of each row's hops
+        begin = np.append(words.first[row] + (np.arange(len(row)) - (last - hops)[row]) * HOP, words.first[-1])
+        for at in range(0, len(row), RUN):
+            here = np.arange(at, min(at + RUN, len(row)))
+            stop = min(at + RUN + self.widest, len(row))
+            ours = np.flatnonzero(place[begin[at] : begin[stop]]) + begin[at]
+            if not len(ours):
+                continue
+            hop = np.searchsorted(begin[at : stop + 1], ours, "right") - 1
+            new = np.flatnonzero(np.diff(hop, prepend=-1))
+            total = np.zeros((stop - at + 1, len(self.owner)))
+            total[hop[new] + 1] = np.add.reduceat(self.toward[place[ours]], new)
+            np.cumsum(total, axis=0, out=total)
+            found = []
+            for size in SIZES:
+                end = np.minimum(here + size, last[row[here]])
+                # words that occur more than once make the norm longer than this
+                bound = (NEAR * (1 - SLACK)) * np.sqrt(square[begin[end]] - square[begin[here]])
+                i, j = np.nonzero(total[end - at] - total[here - at] >= bound[:, None])
+                found.append(np.stack([here[i], end[i], j, np.zeros_like(i)], 1))
+            for size, which in self.groups:
+                end = np.minimum(here + size, last[row[here]])
+                i, j = np.nonzero(total[end - at, which] - total[here - at, which] >= self.least[which])
+                found.append(np.stack([here[i], end[i], j + which.start, np.ones_like(i)], 1))
+            found = np.concatenate(found)
+            for k in range(0, len(found), RUN):
+                yield from self._confirmed(found[k : k + RUN], words, bucket, place, row, begin, total, at)
+
+    def _confirmed(self, found, words, bucket, place, row, begin, total, at):
+        """Of windows by hops those whose cosine, or number of the passage's words, is enough."""
+        first, end = begin[found[:, 0]], np.minimum(begin[found[:, 1]], words.first[row[found[:, 0]] + 1])
+        n = end - first
+        if not len(found):
+            return
+        starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+        index = np.repeat(first - starts, n) + np.arange(n.sum())
+        same = np.add.reduceat(self.inside[place[index], np.repeat(found[:, 2], n)].astype(np.int64), starts)
+        u, tf = np.unique(np.repeat(np.arange(len(found)), n) * TERMS + bucket[index], return_counts=True)
+        norm = np.sqrt(np.bincount(u // TERMS, (tf * self.weights[u % TERMS]) ** 2, len(found)))
+        cos = (total[found[:, 1] - at, found[:, 2]] - total[found[:, 0] - at, found[:, 2]]) / np.maximum(norm, 1e-9)
+        good = np.where(found[:, 3] == 1, same >= self.need[found[:, 2]], cos >= NEAR)
+        for k in np.flatnonzero(good).tolist():
+            yield int(row[found[k, 0]]), int(first[k]), int(end[k]), int(found[k, 2]), float(cos[k])
 
     def check(self, item: int, hashes: np.ndarray) -> tuple[int, bool, list[int]]:
         """Common subsequence length, whether the answer is there in order, and the places of words of the item."""
@@ -235,7 +291,7 @@ class Round:
         for _, m in masks:
             u = v & m
             v = ((v + u) | (v - u)) & full
-        tail = min(n, max(3, -(-n // ANSWER)))
+        tail = self.items[item].answer
         want = self.items[item].words[n - tail :].tolist()
         k = 0
         for i, _ in masks:
