@@ -312,6 +312,18 @@ def test_decontamination_finds_items_reworded_down_to_the_rule(spark):
     assert got == {(k, k) for k, _ in items}
 
 
+def test_windows_with_repeated_terms_reach_the_cosine():
+    """Five times one word among 24 of equal weights: a cosine of sqrt(25 / 44), though 5 of 24 occurrences."""
+    (words,) = textvec.word_chunks(pa.array([" ".join([f"a{i}" for i in range(24)] + ["same"] * 5 + [f"b{i}" for i in range(19)])]), True)
+    (item,) = textvec.word_chunks(pa.array(["same " * 5]), True)
+    weights = np.ones(decontamination.TERMS, np.float32)
+    terms = (item.hashes[:1] & decontamination._MASK).astype(np.int64)
+    one = decontamination.Round([decontamination.Item(1, item.hashes)], weights, terms, np.ones((1, 1), np.float32))
+    one.least[:] = np.inf  # the cosine's gate alone
+    cosines = [cos for _, first, end, _, cos in one.candidates(words) if (first, end) == (24, 48)]
+    assert cosines and cosines == pytest.approx([(25 / 44) ** 0.5] * len(cosines), abs=1e-5)
+
+
 def test_latent_space_is_the_svd(spark):
     rng = np.random.default_rng(0)
     a = rng.normal(size=(12, 5)) @ rng.normal(size=(5, 9))
