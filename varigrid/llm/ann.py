@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varigrid.llm.blocks import first_by_hash, hash_place, small_batches, stored
+from varigrid.llm.blocks import bounded, first_by_hash, hash_place, stored
 
 TREES = 8
 LEAF = 64
@@ -146,7 +146,7 @@ def plant(points: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int =
 
 def _deal(shared):
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             keys = np.asarray(batch.column(0))
             x = np.asarray(batch.column(1).flatten()).reshape(len(keys), -1)
             for t, tree in enumerate(shared.value):
@@ -159,7 +159,7 @@ def _walk(shared, sizes, want):
     schema = pa.schema([("query", pa.int64()), ("x", pa.list_(pa.float64())), ("tree", pa.int32()), ("leaf", pa.int32())])
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             for q, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = search_leaves(shared.value, sizes.value, np.array(v), want)
                 n = len(found)
@@ -210,7 +210,7 @@ def _parts(spark, sizes: dict, asked: dict) -> DataFrame:
 def neighbours(vectors: DataFrame, queries, k: int = K, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, search: int = SEARCH, share: float = SHARE) -> DataFrame:
     """(vec_id, embedding) to (query_id, rank, vec_id, score): the k nearest found of each row for which ``queries``, a column, holds."""
     spark = vectors.sparkSession
-    rows = usable(small_batches(vectors))
+    rows = usable(vectors)
     index = stored(distinct_vectors(rows, k), "vectors")
     place = hash_place(F.xxhash64("key"))
     some = index.filter(first_by_hash(place, index.count(), sample)).select("v", "key", place.alias("place")).collect()

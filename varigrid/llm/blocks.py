@@ -1,6 +1,6 @@
 """Shared plumbing of the operators: input sizes, blocks and shards.
 
-A *block* is a set of documents chosen by a hash of doc_id, small enough for one
+A *block* is a set of documents chosen by a hash of doc_id and text, small enough for one
 Python worker; a *shard* is a range of keys.  Blocks send each shard the distinct
 keys they hold, already summed, so a key that is hot in the corpus reaches its
 shard once per block, and each shard answers once per block.
@@ -11,8 +11,10 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,13 +26,15 @@ __all__ = ["shared_dir", "stored"]
 BLOCK_BYTES = 8 << 20
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """Bound what a Python worker gets at once, where the session leaves Spark's defaults; returns the frame."""
-    conf = df.sparkSession.conf
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))):
-        if conf.get(key, None) is None:
-            conf.set(key, value)
-    return df
+def bounded(batches: Iterable[pa.RecordBatch], rows: int = 1000, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """What a Python worker takes at once: Spark's batches in slices of at most ``rows`` rows and about ``size`` bytes.
+
+    A row larger than that is a slice of its own.
+    """
+    for batch in batches:
+        step = max(1, min(rows, int(batch.num_rows * size / max(batch.get_total_buffer_size(), 1))))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 def free_memory() -> None:
@@ -39,12 +43,12 @@ def free_memory() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-_HASHES = 1 << 31
+HASHES = 1 << 31
 
 
 def hash_place(key: Column) -> Column:
     """A row's place in a sample order that doesn't depend on partitions."""
-    return F.pmod(key, F.lit(_HASHES))
+    return F.pmod(key, F.lit(HASHES))
 
 
 def first_by_hash(place: Column, rows: int, wanted: int) -> Column:
@@ -54,24 +58,21 @@ def first_by_hash(place: Column, rows: int, wanted: int) -> Column:
     does where each partition sends its own first rows.
     """
     share = (wanted + 10 * math.sqrt(wanted) + 50) / max(rows, 1)
-    return place < F.lit(int(min(1.0, share) * _HASHES))
+    return place < F.lit(int(min(1.0, share) * HASHES))
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The planner's size of what a frame reads: for files their length, without reading them."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return size if size < 1 << 56 else 1 << 30
+def text_bytes(df: DataFrame) -> int:
+    """Bytes of all texts, as they are in memory: the size of files says little of texts that repeat."""
+    return int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
 
 def n_blocks(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
-    return min(100_000, max(2, math.ceil(input_bytes(df) / block_bytes)))
+    return max(2, math.ceil(text_bytes(df) / block_bytes))
 
 
 def with_block(df: DataFrame, n: int) -> DataFrame:
-    """doc_id and text with the block of each row. Rows without doc_id are spread by their text."""
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    return df.select("doc_id", "text", F.pmod(key, F.lit(n)).cast("int").alias("block"))
+    """doc_id and text with the block of each row: by both, so that rows of one doc_id or of one text are spread."""
+    return df.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"))
 
 
 def pack(values: np.ndarray) -> bytes:

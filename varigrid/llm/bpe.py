@@ -9,12 +9,15 @@ before it ends with a token that is *compatible* with it, which means that the
 pair alone, merged by rank, stays this pair. Exactly one token passes.
 Back-pointers then give the ids.
 
-Texts are cut into words by the vocabulary file's own pattern; each worker keeps
+Texts are cut into words by ``PATTERN``, the fixed one of byte-level vocabularies
+without a pattern of their own, as the file here; each worker keeps
 the ids of words and the answers for pairs that it has met, up to bounds.
 
 Defined cases: null text is empty and has no ids. The added tokens of the file
 are found in the text first, leftmost, as the library does. Other columns are
-ignored; rows with equal doc_id are encoded each for itself.
+ignored; rows with equal doc_id are encoded each for itself. Very long texts and
+words take time linear in their length and the tokens that end at a byte. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varigrid.llm.blocks import free_memory, small_batches
+from varigrid.llm.blocks import bounded, free_memory
 
 CACHE_WORDS = 600_000
 CACHE_PAIRS = 400_000
@@ -324,7 +327,7 @@ def bpe(docs: DataFrame, path: str | None = None, ids: bool = True) -> DataFrame
 
     def run(batches):
         e = encoder(path)
-        for batch in batches:
+        for batch in bounded(batches):
             got = [ids for _, ids in encoded(e, batch.column(1))]
             values = np.concatenate(got) if got else np.zeros(0, np.uint32)
             offsets = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
@@ -332,7 +335,7 @@ def bpe(docs: DataFrame, path: str | None = None, ids: bool = True) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array([e.decode(g) for g in got], pa.string())], names=["doc_id", "ids", "decoded"])
         finished(e)
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
 def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -342,7 +345,7 @@ def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         e = encoder(path)
         decimal = [str(i) for i in range(max(e.bytes_of) + 1)]
-        for batch in batches:
+        for batch in bounded(batches):
             n, a, b = [], [], []
             for _, got in encoded(e, batch.column(1)):
                 n.append(len(got))
@@ -351,7 +354,7 @@ def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         finished(e)
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varigrid.llm.blocks import pack, small_batches, unpack
+from varigrid.llm.blocks import bounded, pack, unpack
 from varigrid.llm.textvec import mix, word_chunks
 
 TERMS = 1 << 18
@@ -68,7 +68,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
     def run(batches):
         df, n = np.zeros(TERMS, np.int64), 0
-        for batch in batches:
+        for batch in bounded(batches):
             n += batch.num_rows
             for words in word_chunks(batch.column(0), True):
                 row = np.repeat(np.arange(len(words.counts), dtype=np.uint64), words.counts)
@@ -166,7 +166,7 @@ def latent_space(passages: DataFrame, rank: int = RANK) -> tuple[np.ndarray, np.
     def project(batches):
         schema = pa.schema([("term", pa.int64()), ("z", pa.binary())])
         total: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in bounded(batches):
             for terms, w in rows(batch):
                 t, w = np.array(terms), np.array(w)
                 y = w @ _start(t, rank)
@@ -188,7 +188,7 @@ def latent_space(passages: DataFrame, rank: int = RANK) -> tuple[np.ndarray, np.
 
     def gram(batches):
         g = np.zeros((q.shape[1], q.shape[1]))
-        for batch in batches:
+        for batch in bounded(batches):
             for t, w in rows(batch):
                 x = np.array(w) @ q[np.searchsorted(terms, t)]
                 g += np.outer(x, x)
@@ -304,7 +304,7 @@ def _search(shared):
 
     def run(batches):
         r: Round = shared.value
-        for batch in batches:
+        for batch in bounded(batches):
             out = {}
             for words in word_chunks(batch.column(1), True):
                 for row, first, end, passage, cos in r.candidates(words):
@@ -331,7 +331,7 @@ def _rounds(benchmark: DataFrame):
     """Items with their word hashes, in rounds of at most ROUND passages; one round at a time is on the driver."""
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             words = [np.zeros(0, np.uint64)] * batch.num_rows
             for w in word_chunks(batch.column(1), True):
                 for r in range(len(w.counts)):
@@ -359,7 +359,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item_words, cosine, and the place in the document's words.
     """
     spark = docs.sparkSession
-    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     weights = term_weights(*document_frequencies(docs))
     found = None
     for items in _rounds(benchmark):
