@@ -1,4 +1,8 @@
+import collections
+import time
+
 import numpy as np
+import pytest
 
 from varigrid.llm import ann, html_extract
 
@@ -41,17 +45,122 @@ def test_recall_and_large_leaves(spark, monkeypatch):
 PAGE = '<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="ad">Buy</div><article><h1>A &amp; B&lt;</h1><p><b>One  two\n three<br><p>Four&nbsp;five<p class="note">six</article><div class="comments"><p>first!</p></div><footer>&copy; x</footer></body></html>'
 
 
+def main_text(page, **how):
+    return html_extract.main_text(page, **how)[0]
+
+
 def test_main_text():
-    assert html_extract.main_text(PAGE) == "A & B<\nOne two three\nFour five\nsix"
-    assert html_extract.main_text(None) == html_extract.main_text("") == ""
-    assert html_extract.main_text("just < text &am &amp") == "just < text &am &"
-    assert html_extract.main_text("<div>a<div>b</div>c<form>d</form></div><!-- e --><p>f") == "a\nb\nc\nf"
-    assert html_extract.main_text('<ul><li>a<li>b<ul><li>c</ul></ul><p title="x>y">d') == "a\nb\nc\nd"
-    assert html_extract.main_text("<article><p>in</p></article><p>out</p>") == "in"
+    assert main_text(PAGE) == "A & B<\nOne two three\nFour five\nsix"
+    assert main_text(None) == main_text("") == ""
+    assert main_text("just < text &am &amp") == "just < text &am &"
+    assert main_text("<div>a<div>b</div>c<form>d</form></div><!-- e --><p>f") == "a\nb\nc\nf"
+    assert main_text('<ul><li>a<li>b<ul><li>c</ul></ul><p title="x>y">d') == "a\nb\nc\nd"
+    assert main_text("<article><p>in</p></article><p>out</p>") == "in"
+    assert main_text("<table><tr><td>a<td>b<p>c<tr><td><table><tr><td>d</table>e</table>f<dl><dt>g<dd>h<p>i</dl>") == "a\nb\nc\nd\ne\nf\ng\nh\ni"
+
+
+def test_only_whole_class_words_that_name_noise_drop_a_part():
+    assert main_text('<body class="no-sidebar"><article class="category-social"><header class="article-header"><h1>t</h1></header><p>a <math><mi>x</mi></math> <object>o</object></p><section class="related-work">w</section><div class="comments">c</div></article>') == "t\na x o\nw"
+    assert main_text('<article data-id="sidebar"><p>a</p><aside>b</aside><div class="x Sidebar">c</div></article>') == "a"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x", "<p>" * 50_000 + "</q></div>" * 50_000 + "x", '<a href="' * 60_001, "<a b='>" * 50_001, "<!-" * 100_000, "<li><ul>" * 40_000 + "x" + "</table>" * 40_000, "<td><p>" * 40_000 + "x"])
+def test_deep_and_broken_pages_take_linear_time(page):
+    began = time.perf_counter()
+    html_extract.features(html_extract.parse(page))
+    html_extract.main_text(page)
+    assert time.perf_counter() - began < 8
+
+
+def brute_noise(pages, low, least):
+    """Nodes as paths, counts with sets of pages, entropies over lists; branches found by recursion."""
+    seen = collections.defaultdict(lambda: collections.defaultdict(set))
+    for n, (host, page) in enumerate(pages):
+        work = [(html_extract.parse(page), ())]
+        while work:
+            x, above = work.pop()
+            me = (*above, x.name)
+            kids = [y for y in x.parts if isinstance(y, html_extract.Node)]
+            for scope in (host, None):
+                seen[scope, me]["there"].add(n)
+                for t in html_extract._runs(x):
+                    if isinstance(t, str):
+                        for s in html_extract._SENTENCE.split(t):
+                            seen[scope, me]["text", s].add(n)
+                if kids:
+                    seen[scope, me]["kids", tuple(y.name for y in kids)].add(n)
+            work += [(y, me) for y in kids]
+    entropy = lambda k, base: np.log(k) / np.log(base) if base > 1 else 0.0
+
+    def content(at):
+        m = len(seen[at]["there"])
+        h = [entropy(len(v), m) for k, v in seen[at].items() if k[0] == "text"]
+        return 1 - sum(h) / len(h) if h else None
+
+    def score(host, me):
+        at, m = (host, me), len(seen[host, me]["there"])
+        kids = [k for h, k in seen if h == host and k[:-1] == me and len(seen[host, k]["there"]) >= least]
+        c = content(at)
+        if not kids:
+            return 0.0 if c is None else c
+        inner = sum(score(host, k) * len(seen[host, k]["there"]) for k in kids) / sum(len(seen[host, k]["there"]) for k in kids)
+        inner = inner if c is None else max(inner, c)
+        shown = [len(v) for k, v in seen[at].items() if k[0] == "kids"]
+        style = html_entropy(shown) / np.log(m)
+        w = html_extract.GAMMA ** len(shown)
+        return (1 - w) * style + w * inner
+
+    def noise(host, me):
+        kids = [k for h, k in seen if h == host and k[:-1] == me and len(seen[host, k]["there"]) >= least]
+        return score(host, me) < low and all(noise(host, k) for k in kids)
+
+    branches, muted = collections.defaultdict(set), collections.defaultdict(set)
+    for host, me in list(seen):
+        if host is None:
+            continue
+        if len(seen[host, me]["there"]) >= least and noise(host, me) and not noise(host, ("#",)):
+            branches[host].add(me)
+        c = content((None, me))
+        if len(seen[None, me]["there"]) >= least and c is not None and c < low:
+            muted[host].add(me)
+    return branches, muted
+
+
+def html_entropy(counts):
+    p = np.array(counts, float) / sum(counts)
+    return float(-(p * np.log(p)).sum())
+
+
+def test_style_tree_equals_brute_force(spark, sf_dir):
+    rows = [(r.url.split("/")[2].lower(), r.html) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    rows += [("h", f"<body><div class=x{i}>common. line {i % 7}<p>more {i % 3}</p></div><div class=y>{'<p>x' * (i % 4)}<p>story {i} one</p></div><ul><li>a<li>b {i}</ul></body>") for i in range(40)]
+    ids = {}
+    for _, page in rows:
+        work = [(html_extract.parse(page), ())]
+        while work:
+            x, above = work.pop()
+            ids[html_extract._signed(x.id)] = (*above, x.name)
+            work += [(y, (*above, x.name)) for y in x.parts if isinstance(y, html_extract.Node)]
+    df = spark.createDataFrame(rows, "host string, html string")
+    got = html_extract.noise(html_extract.page_features(df)).collect()
+    branches, muted = brute_noise(rows, html_extract.LOW, html_extract.MIN_PAGES)
+    assert {r.host: {ids[i] for i in r.branches} for r in got if r.branches} == {h: v for h, v in branches.items() if v}
+    assert {r.host: {ids[i] for i in r.muted} for r in got if r.muted} == muted
+    assert muted
+
+
+@pytest.mark.parametrize("most", [html_extract.BROADCAST_BYTES, 0])
+def test_the_style_tree_alone_finds_the_articles(spark, most):
+    """Without names of elements and classes: the tree decides, and it takes text from every page."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r.page_id: main_text(r.html) for r in pages.collect()}
+    got = html_extract.extract(pages, names=False, broadcast_bytes=most).collect()
+    assert {r.page_id: r.text for r in got} == want
+    assert all(r.n_tree > 0 for r in got)
 
 
 def test_style_tree_removes_noise_of_a_host(spark):
-    rows = [(i, f"http://h.example/{i}", f"<body><div class=x{i}><p>common line</p><p>more {i % 3}</p></div><div class=y><p>story {i} one</p><p>story {i} two {'<p>three' if i % 2 else ''}</div></body>", "h", 1) for i in range(40)]
+    rows = [(i, f"http://h.example/{i}", f"<body><article><div class=x{i}><p>common line</p><p>more {i % 3}</p></div><div class=y><p>story {i} one</p><p>story {i} two {'<p>three' if i % 2 else ''}</div></article></body>", "h", 1) for i in range(40)]
     rows += [(100, None, None, "h", 1), (101, "http://h.example/0", "", "h", 1), (102, "//few.example", "<div class=x1><p>common line</p></div>", "h", 1), (0, *rows[0][1:])]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, low int")
     got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
@@ -63,7 +172,7 @@ def test_style_tree_removes_noise_of_a_host(spark):
 
 
 def test_importance_of_shared_and_own_text():
-    leaf = lambda path, pages, content, n: {"path": path, "pages": pages, "content": content, "n_content": n, "spread": 0.0, "n_style": 0.0, "n_shown": 0.0}
-    low = html_extract.importance([leaf("#/a", 100, np.log(100), 1.0)])["#/a"]
-    high = html_extract.importance([leaf("#/a", 100, 0.0, 100.0)])["#/a"]
+    leaf = lambda pages, content, n: [{"node": 1, "parent": 0, "pages": pages, "content": content, "n_content": n, "spread": 0.0, "n_style": 0.0, "n_shown": 0.0}]
+    low = html_extract.importance(leaf(100, np.log(100), 1.0))[0][1]
+    high = html_extract.importance(leaf(100, 0.0, 100.0))[0][1]
     assert (round(low, 9), high) == (0.0, 1.0)
