@@ -26,7 +26,8 @@ threshold, or fall below AGREE.
 Defined cases: null text, empty text and text without words have an empty set,
 are linked with nothing and are kept. A row without doc_id is linked with
 nothing, has no component_id and is kept. Rows with equal doc_id are one
-document: what one is linked with, the other is. Other columns are ignored.
+document, also where their texts differ: what one is linked with, the other is,
+and all have the same component. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varigrid.llm.blocks import small_batches, stored
+from varigrid.llm.blocks import bounded, stored
 from varigrid.llm.textvec import mix, run_hashes, word_chunks
 from varigrid.plans.components import connected_components
 
@@ -95,7 +96,7 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows:
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             m = batch.num_rows
             n, digest = np.zeros(m, np.int64), np.zeros((m, 2), np.int64)
             keys: list = [None] * m
@@ -205,7 +206,7 @@ def _exact_edges(percent: int):
 
 def _sets(shingle: int):
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             sets = [b""] * batch.num_rows
             for r, s in shingle_sets(batch.column(2), shingle):
                 sets[r] = s.tobytes()
@@ -216,7 +217,7 @@ def _sets(shingle: int):
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, agree: float = AGREE, group: int = GROUP) -> DataFrame:
     """(doc_id, text) to (doc_id, n_shingles, component_id, kept)."""
-    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sk = stored(sketches(docs, shingle, bands, rows), "sketches")
     known = sk.filter("doc_id IS NOT NULL AND d1 IS NOT NULL")
     classes = stored(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("n").alias("n")), "classes")
@@ -233,11 +234,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     parts = F.greatest(F.ceil(F.col("c") / group), F.ceil(F.col("n") / GROUP_SHINGLES))
     full = _parts(text.join(sizes, "family"), "node", parts).select("family", "p", "q", "node", "shingles")
     exact = full.groupBy("family", "p", "q").applyInArrow(_exact_edges(percent), "a long, b long")
-    comps = connected_components(exact, name="links")
+    # a doc_id with several texts joins their classes
+    several = known.groupBy("doc_id", "d1", "d2").agg(F.count("*")).groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id")
+    same = known.join(several, "doc_id").select("doc_id", "d1", "d2").distinct().join(classes.select("d1", "d2", "rep"), ["d1", "d2"])
+    comps = stored(connected_components(exact.unionByName(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), name="links"), "components")
     of_class = classes.select("d1", "d2", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    out = sk.select("doc_id", "n", "d1", "d2").join(of_class, ["d1", "d2"], "left")
+    with_words = sk.filter("d1 IS NOT NULL").select("doc_id", "n", "d1", "d2").join(of_class, ["d1", "d2"], "left").select("doc_id", "n", "component")
+    without = sk.filter("d1 IS NULL").select("doc_id", "n").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", "component")
     component = F.when(F.col("doc_id").isNotNull(), F.least(F.coalesce("component", "doc_id"), "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = with_words.unionByName(without).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
