@@ -1,54 +1,53 @@
 """Secrets by fixed patterns and by inferred grammars of credential formats (operator 8).
 
 Base patterns give labelled credentials: the value of an assignment, an access
-key, a hexadecimal run. From a bounded sample of them (``TRAIN_PER_KIND`` values
-a kind, those with the smallest hashes) one probabilistic automaton a kind is
-inferred. Its alphabet are classes of characters with statistically equal rates.
+key, a hexadecimal run. From a bounded sample of them (``TRAIN_PER_KIND`` distinct
+values a kind, those with the smallest hashes, of at most ``TRAIN_LENGTH`` bytes
+each) one probabilistic automaton a kind is inferred from whole values. Its alphabet are classes of characters with statistically equal rates.
 A prefix tree counts classes and ends at each state; its states are folded, in
 breadth-first order, into the first kept state that is compatible: the Hoeffding
 bound separates neither their end rates nor their rates for any class, nor those
 of their successors.
 
-Every candidate of a text, a run of at least ``MIN_LENGTH`` characters of
-``[A-Za-z0-9+/_=-]`` that holds a digit and is no part of a base span, is scored
-by each automaton: mean log10 likelihood a character, where a class's mass is
-shared by its characters. Candidates that reach the lowest score of an
-automaton's training values less ``MARGIN`` are added as spans of kind
-``format``.
+Every candidate of a text, a whole run of characters of ``[A-Za-z0-9+/_=-]`` that
+does not lie in a base span, is scored by each automaton: mean log10 likelihood a
+character, where a class's mass is shared by its characters. Candidates that reach
+the lowest score of an automaton's training values less ``MARGIN`` are added as
+spans of kind ``format``, also beside a base span that is a part of them. A run
+shorter than all values that were learned from can't be told from a word and is
+not one of their formats.
 
 Defined cases: null text is empty and has no spans. With fewer than
 ``MIN_TRAIN`` values of a kind no automaton is made for it, and a table without
 credentials has base spans only (none). Repeated rows are each scanned. Other
-columns are ignored. Offsets count code points; ends are exclusive.
+columns are ignored. Offsets count code points; ends are exclusive. Ties of spans
+are in the order of kinds. Time is linear in a text's length.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import Counter, deque
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varigrid.llm.blocks import small_batches
+from varigrid.llm.blocks import bounded, first_by_hash, hash_place, stored
 from varigrid.llm.bpe import texts
 
 KINDS = ("assign", "access", "hex", "format")
 TRAIN_PER_KIND = 2000
 MIN_TRAIN = 20
-MIN_LENGTH = 16
+TRAIN_LENGTH = 4096
 MARGIN = 0.02
 ALPHA = 0.05
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{24,}")
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
 _HINT = re.compile(rb"[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]")
-_DIGIT = re.compile(rb"[0-9]")
 
 
 def base_spans(raw: bytes) -> list[tuple[int, int, int, int]]:
@@ -93,6 +92,8 @@ class Automaton:
             self.states[s].ends += 1
         self._merge_all()
         self.low = min((self.score(v) for v in values), default=0.0) - MARGIN
+        self.shortest = min(map(len, values), default=1)
+        self.starts = bytes(c for c, k in self.class_of.items() if k in self.states[0].to)
 
     def _alphabet(self, values: list[bytes]) -> dict[int, int]:
         """Characters by descending rate; one starts a new class if its rate differs from the rate of the class's first."""
@@ -175,40 +176,54 @@ def labelled(docs: DataFrame) -> DataFrame:
     """(kind, value) of all base matches."""
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             kinds, values = [], []
             for t in texts(batch.column(0)):
                 if t:
                     raw = t.encode()
                     for _, kind, end, at in base_spans(raw):
-                        kinds.append(kind)
-                        values.append(raw[at : min(end, at + 200)])
+                        if end - at <= TRAIN_LENGTH:
+                            kinds.append(kind)
+                            values.append(raw[at:end])
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(values, pa.binary())], names=["kind", "value"])
 
-    return small_batches(docs).select("text").mapInArrow(run, "kind int, value binary")
+    return docs.select("text").mapInArrow(run, "kind int, value binary")
 
 
 def infer(docs: DataFrame, per_kind: int = TRAIN_PER_KIND, min_train: int = MIN_TRAIN) -> dict[int, Automaton]:
     """An automaton for each kind with enough distinct values; per_kind bounds what the driver takes."""
-    values = labelled(docs).filter(F.length("value") >= MIN_LENGTH).distinct()
-    first = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))
-    rows = values.withColumn("k", first).filter(F.col("k") <= per_kind).select("kind", "value").collect()
-    by_kind: dict[int, list[bytes]] = {}
-    for r in sorted((r.kind, bytes(r.value)) for r in rows):
-        by_kind.setdefault(r[0], []).append(r[1])
-    return {k: Automaton(v) for k, v in by_kind.items() if len(v) >= min_train}
+    values = stored(labelled(docs).distinct(), "credentials")
+    place, found = hash_place(F.xxhash64("value")), F.lit(False)
+    for r in values.groupBy("kind").count().collect():  # a row a kind
+        found = found | ((F.col("kind") == r.kind) & first_by_hash(place, r["count"], per_kind))
+    by_kind: dict[int, list[tuple[int, bytes]]] = {}
+    for r in values.filter(found).select("kind", "value", place.alias("place")).collect():
+        by_kind.setdefault(r.kind, []).append((r.place, bytes(r.value)))
+    return {k: Automaton(sorted(x for _, x in sorted(v)[:per_kind])) for k, v in sorted(by_kind.items()) if len(v) >= min_train}
 
 
-def all_spans(raw: bytes, automata: dict[int, Automaton]) -> list[tuple[int, int, int]]:
+def _candidates(automata: dict[int, Automaton]) -> re.Pattern[bytes]:
+    """Whole runs that are as long as the shortest learned value and start as some automaton does; no other can fit."""
+    starts = re.escape(bytes(sorted({c for a in automata.values() for c in a.starts})))
+    least = min(a.shortest for a in automata.values())
+    return re.compile(rb"(?<![A-Za-z0-9+/_=-])(?=[%s])[A-Za-z0-9+/_=-]{%d,}" % (starts, least))
+
+
+def all_spans(raw: bytes, automata: dict[int, Automaton], candidates: re.Pattern[bytes] | None = None) -> list[tuple[int, int, int]]:
     """(start, kind, end) in bytes: base spans and candidates that fit an inferred format."""
-    base = base_spans(raw)
-    out = [(s, k, e) for s, k, e, _ in base]
-    if automata and _DIGIT.search(raw):
-        for m in CANDIDATE.finditer(raw):
-            v = m[0]
-            if _DIGIT.search(v) and not any(s < m.end() and m.start() < e for s, _, e in out[: len(base)]) and any(a.fits(v) for a in automata.values()):
-                out.append((m.start(), 3, m.end()))
-    return sorted(out)
+    out = [(s, k, e) for s, k, e, _ in base_spans(raw)]
+    if automata:
+        # both in ascending order: a candidate lies in a base span if one that starts no later ends no earlier
+        i, reach, base, n = 0, 0, out, len(out)
+        more = []
+        for m in (candidates or _candidates(automata)).finditer(raw):
+            while i < n and base[i][0] <= m.start():
+                reach = max(reach, base[i][2])
+                i += 1
+            if reach < m.end() and any(a.fits(m[0]) for a in automata.values()):
+                more.append((m.start(), 3, m.end()))
+        out = sorted(out + more) if more else out
+    return out
 
 
 def _code_points(raw: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -222,31 +237,30 @@ def _code_points(raw: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[in
     return [(place[s], k, place[e]) for s, k, e in spans]
 
 
-def _text_of(spans) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
-
-
 def secret_scan(docs: DataFrame, automata: dict[int, Automaton] | None = None) -> DataFrame:
     """(doc_id, text) to (doc_id, base, spans): arrays of (kind, start, end), by start, then kind as listed."""
     automata = infer(docs) if automata is None else automata
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
+    candidates = _candidates(automata) if automata else None
+
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             base, spans = [], []
             for t in texts(batch.column(1)):
                 raw = (t or "").encode()
-                got = [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in _code_points(raw, all_spans(raw, automata))]
+                got = [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in _code_points(raw, all_spans(raw, automata, candidates))]
                 spans.append(got)
                 base.append([x for x in got if x["kind"] != "format"])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, kind), pa.array(spans, kind)], names=["doc_id", "base", "spans"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, base array<struct<kind:string,start:bigint,end:bigint>>, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, base array<struct<kind:string,start:bigint,end:bigint>>, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def without_secrets(docs: DataFrame, automata: dict[int, Automaton] | None = None, mark: str = "[secret]") -> DataFrame:
     """The documents with every span replaced by a mark; all other columns are kept."""
     automata = infer(docs) if automata is None else automata
+    candidates = _candidates(automata) if automata else None
 
     @F.pandas_udf("string")
     def clean(column):
@@ -254,7 +268,7 @@ def without_secrets(docs: DataFrame, automata: dict[int, Automaton] | None = Non
             if not t:
                 return t
             raw = t.encode()
-            spans = all_spans(raw, automata)
+            spans = all_spans(raw, automata, candidates)
             if not spans:
                 return t
             out, at = [], 0
@@ -268,7 +282,7 @@ def without_secrets(docs: DataFrame, automata: dict[int, Automaton] | None = Non
 
         return column.map(one)
 
-    return small_batches(docs).withColumn("text", clean("text"))
+    return docs.withColumn("text", clean("text"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -276,7 +290,3 @@ def query(spark, sf_dir: str) -> DataFrame:
     joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
-
-
-def digest(spans: list[tuple[int, int, int]]) -> str:
-    return hashlib.sha256(_text_of(spans).encode()).hexdigest()
