@@ -4,6 +4,8 @@ import collections
 import hashlib
 import math
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -40,7 +42,7 @@ def brute_components(rows):
     for i, t in rows:
         w = lower(t)
         sets.append((i, frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])))
-    parent = {i: i for i, _ in sets if i is not None}
+    parent = {i: i for i, _ in sets if i is not None}  # rows of one doc_id are one node
 
     def find(i):
         while parent[i] != i:
@@ -66,6 +68,14 @@ def test_near_duplicates(spark, table, odd_rows, group):
     assert sorted_rows(minhash_dedup.near_duplicates(table(rows), group=group)) == sorted(brute_components(rows), key=repr)
 
 
+def test_rows_of_one_doc_id_are_one_document(table):
+    a, b = prose(90, 60), prose(91, 60)
+    rows = [(3, a), (9, a), (5, b), (9, b), (9, ""), (9, None), (7, prose(92, 60)), (7, prose(92, 60))]
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(table(rows)).collect()}
+    assert got == {(3, 3, True), (9, 3, False), (5, 3, False), (7, 7, True)}
+    assert sorted_rows(minhash_dedup.near_duplicates(table(rows))) == sorted(brute_components(rows), key=repr)
+
+
 def test_near_duplicates_of_an_empty_table(table):
     assert minhash_dedup.near_duplicates(table([])).count() == 0
 
@@ -195,19 +205,38 @@ def test_bpe_digests(table, odd_rows, library):
     assert bpe.bpe(table([])).count() == 0
 
 
-def test_token_files(table, odd_rows, library):
+def test_token_files(spark, table, odd_rows, library, monkeypatch):
+    monkeypatch.setattr(token_files, "SEGMENT_TOKENS", 1 << 10)
     rows = [(i, t) for i, t in odd_rows if i is not None]
-    segments = token_files.write_tokens(table(rows))
+    rows += [(None, "no id"), (60, prose(61, 40_000))]
+    folder = token_files.write_tokens(table(rows))
+    segments = token_files.open_tokens(spark, folder)
     at, want = 0, []
-    for i, t in sorted(rows, key=lambda r: r[0]):
+    every = []
+    for i, t in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):
         ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
-        want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        want.append((i, at, len(ids), zlib.crc32(ids.tobytes()), int(ids[len(ids) // 2])))
         at += len(ids)
+        every += ids.tolist()
     assert sorted_rows(token_files.token_digests(segments)) == sorted(want, key=repr)
+    places = [0, 1, at - 1, at // 2, at // 3, at, at + 10**7]
+    found = token_files.tokens_at(spark, folder, spark.createDataFrame([(p,) for p in places], "place long"))
+    assert {r.place: r.id for r in found.collect()} == {p: every[p] for p in places if p < at}
+    order = sorted(segments.collect(), key=lambda r: r.segment)
+    assert [r.segment for r in order] == list(range(len(order)))
+    assert [r.first_token for r in order] == [sum(r.n_tokens for r in order[:k]) for k in range(len(order))]
     lists = {r.start: r.ids for r in token_files.read_tokens(segments).collect()}
-    assert [len(lists[s]) for _, s, _, _ in want] == [n for _, _, n, _ in want]
-    assert token_files.token_digests(token_files.write_tokens(table([]))).count() == 0
-    assert [tuple(r) for r in token_files.token_digests(token_files.write_tokens(table([(None, None)]))).collect()] == [(None, 0, 1, zlib.crc32(bytes(4)))]
+    assert [len(lists[s]) for _, s, *_ in want] == [n for _, _, n, *_ in want]
+    digests = lambda rows: token_files.token_digests(token_files.open_tokens(spark, token_files.write_tokens(table(rows)))).collect()
+    assert digests([]) == []
+    assert [tuple(r) for r in digests([(None, None)])] == [(None, 0, 1, zlib.crc32(bytes(4)), 0)]
+
+
+def test_white_space_too_long_for_the_compiled_library(library):
+    text = "a" + "\n" * 300_000 + " b"
+    fast = token_files.library_encoder(bpe.default_path())
+    assert fast.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert fast.codes.decode(fast.encode("\n" * 1_000_000).tolist()) == "\n" * 1_000_000
 
 
 @pytest.mark.parametrize("ids", [[], [0], [255, 256, 65535, 65536, 2**32 - 1], list(range(0, 70000, 7))])
@@ -245,6 +274,45 @@ def test_automata_learn_formats():
     assert (3, 3, 38) in docs_span
 
 
+def brute_spans(raw, automata):
+    base = [(s, k, e) for s, k, e, _ in secret_scan.base_spans(raw)]
+    runs = [(m.start(), 3, m.end()) for m in re.finditer(rb"[A-Za-z0-9+/_=-]+", raw) if any(a.fits(m[0]) for a in automata.values())]
+    return sorted(base + [r for r in runs if not any(s <= r[0] and r[2] <= e for s, _, e in base)])
+
+
+def test_all_candidates_are_scored():
+    """Short formats and formats without a digit, long values, and a credential that a base span is a part of."""
+    r = random.Random(3)
+    short = [("zq-" + "".join(r.choice("ghkmpt") for _ in range(6))).encode() for _ in range(80)]
+    long = [b"L" + bytes(r.choice(b"ABCDEF0123456789") for _ in range(400)) for _ in range(60)]
+    part = [b"P_" + bytes(r.choice(b"0123456789abcdef") for _ in range(30)) for _ in range(60)]
+    automata = {k: secret_scan.Automaton(v[:50]) for k, v in enumerate((short, long, part))}
+    assert all(automata[0].fits(v) for v in short)
+    raw = b" ".join([prose(1, 500).encode(), short[70], long[55], b"x" + long[55], part[55], b"token=" + part[56] + b"; " + short[71] + b"," + long[56] * 2])
+    got = secret_scan.all_spans(raw, automata)
+    assert got == brute_spans(raw, automata)
+    assert {raw[s:e] for s, k, e in got if k == 3} >= {short[70], short[71], long[55], part[55]}
+    assert any(k == 2 and s > raw.index(part[55]) for s, k, e in got), "the base span inside stays"
+
+
+def test_many_spans_take_linear_time():
+    a = {0: secret_scan.Automaton([hashlib.sha1(str(k).encode()).hexdigest().encode() for k in range(50)])}
+    raw = b" ".join(b"token=" + hashlib.sha1(str(k).encode()).hexdigest().encode() + b" g" + hashlib.md5(str(k).encode()).hexdigest().encode() for k in range(30_000))
+    began = time.perf_counter()
+    assert len(secret_scan.all_spans(raw, a)) >= 90_000
+    assert time.perf_counter() - began < 10
+
+
+def test_the_grammar_learns_from_whole_values(spark):
+    """Values longer than any prefix that could stand for them."""
+    r = random.Random(4)
+    rows = [(k, "token=" + "".join(r.choice("ABCDEF") for _ in range(300)) + "".join(r.choice("uvwxyz") for _ in range(50))) for k in range(60)]
+    automata = secret_scan.infer(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {chr(c) for c in automata[0].class_of} == set("ABCDEFuvwxyz")
+    assert automata[0].shortest == 350
+    assert not secret_scan.infer(spark.createDataFrame(rows[:5], "doc_id long, text string"))
+
+
 def test_language_id(spark, table):
     parts = {"aa": ["ka", "lo", "mun"], "bb": ["sch", "ein", "tz"], "cc": ["çã", "ões", "rr"]}
     rng = np.random.default_rng(1)
@@ -262,11 +330,42 @@ def test_language_id(spark, table):
     kept = {r.doc_id for r in language_id.accepted(docs, model).collect()}
     assert kept >= {i for i in range(180) if got[i].lang_pred == rows[i][2]}
     assert not kept & {500, 501, 502}
+    few, langs = language_id.training_rows(docs, sample=2)  # fewer rows than labels
+    assert langs == ["aa", "bb"] and len(few) == 2
     none = language_id.fit(docs.filter("doc_id = 503"))
     assert [(r.lang_pred, r.score) for r in language_id.identify(docs.filter("doc_id = 503"), none).collect()] == [("und", 0.0)]
     assert language_id.identify(docs.limit(0), model).count() == 0
 
 
+def test_subword_shares_are_the_mean_that_predictions_take():
+    rng = np.random.default_rng(5)
+    model = language_id.LanguageModel(["a", "b", "c"], np.vstack([rng.normal(size=(language_id.BUCKETS, 3)), np.zeros((1, 3))]), rng.normal(size=3))
+    texts = [prose(1, 300), "É É  a\tB", "x", prose(2, 200_000)]
+    for text, z in zip(texts, model.logits(pa.array(texts)), strict=True):
+        bucket, share = language_id.subword_shares(text.encode())
+        assert share.astype(float) @ model.table[bucket.astype(int)] + model.bias == pytest.approx(z, abs=1e-4)
+    assert language_id.subword_shares(b"")[0].size == 0
+
+
+def test_languages_are_learned_from_whole_texts(spark):
+    """What tells the languages apart comes after 6,000 characters that all texts share."""
+    same, tells = prose(3, 1000), {"aa": "kumalo", "bb": "schrein"}
+    rows = [(i, f"{same} {tells[lang] * 3} " + f"{tells[lang]} " * 400, lang) for i, lang in enumerate(["aa", "bb"] * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, language_id.fit(docs)).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
+def test_language_of_held_out_documents(spark):
+    """Held-out accuracy on the test table, also where rows repeat a doc_id."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang IS NOT NULL")
+    found = language_id.identify(docs, language_id.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2)
+    right = found.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count("*")).first()
+    assert right[0] > 0.98 and right[1] > 150
+    one = docs.limit(300).withColumn("doc_id", F.lit(8).cast("long"))
+    assert len(language_id.training_rows(one, 40)[0]) <= 40
+
+
 def test_decontamination(spark, table):
     items = [(1, prose(70, 30)), (2, prose(71, 18)), (3, prose(72, 140)), (4, None), (5, ""), (1, prose(70, 30))]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
