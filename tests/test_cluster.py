@@ -1,12 +1,16 @@
 """Labels against a plain sequential scan."""
 
+import collections
 import math
+import os
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from varigrid.operators import cluster as C
 from varigrid.operators import neighbors as N
@@ -179,3 +183,88 @@ def test_generators_and_figures(spark):
     assert [r.density for r in ranks] == sorted((r.density for r in ranks), reverse=True)
     assert P.random_points(spark, 50).filter("x < 0 OR x > 180 OR y < 0 OR y > 360").count() == 0
     assert N.estimated_from_larger(400, 1.0, 2.0) == 100
+
+
+def test_components_of_hubs_and_groups(spark):
+    """A component of 200,000 nodes with one hub, long paths, and the same numbers in two groups."""
+    hub = spark.range(1, 200_001).select(F.lit(0).cast("int").alias("g"), F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+    path = spark.range(0, 3000).select(F.lit(1).cast("int").alias("g"), (F.col("id") * 7919 % 3001).alias("a"), ((F.col("id") + 1) * 7919 % 3001).alias("b"))
+    alone = spark.createDataFrame([(2, 5, 5), (2, 9, 8), (2, 8, 9), (3, 2**53 + 1, 2**53)], "g int, a long, b long")
+    got = connected_components(hub.unionByName(path).unionByName(alone).repartition(16), ("g",))
+    sizes = {(r.g, r.component): r.n for r in got.groupBy("g", "component").agg(F.count("*").alias("n")).collect()}
+    assert sizes == {(0, 0): 200_001, (1, 0): 3001, (2, 8): 2, (3, 2**53): 2}
+
+
+def test_stars_deal_a_hubs_children_into_parts(spark, monkeypatch):
+    from varigrid.plans import components
+
+    monkeypatch.setattr(components, "HUB", 10)
+    edges = spark.createDataFrame([(1000 + k, 50 + k % 2) for k in range(300)] + [(51, 50), (50, 3), (9000, 8000)], "a long, b long")
+    comp = {r.node: r.component for r in connected_components(edges).collect()}
+    assert comp == dict.fromkeys([*range(1000, 1300), 3, 50, 51], 3) | {9000: 8000, 8000: 8000}
+    plan = components._stars(edges, [], 303)._jdf.queryExecution().toString()
+    assert "part" in plan and "BroadcastHashJoin" in plan
+
+
+def test_neighbour_tables_of_large_ids(spark):
+    """Ids that a double can't tell apart."""
+    big = 2**53
+    df = spark.createDataFrame([(big, 0.0, 0.0), (big + 1, 0.1, 0.0), (big + 2, 9.0, 9.0), (-big - 1, 0.0, 0.1)], "id long, x double, y double")
+    rows = C.dbscan_from_edges(df, N.eps_join(df, 0.5), 3).collect()
+    assert sorted((r.id, r.cluster) for r in rows) == [(-big - 1, 1), (big, 1), (big + 1, 1), (big + 2, 0)]
+
+
+def test_tables_made_on_the_way_are_removed(spark):
+    """One clustering leaves one table, its labels; the shared folder is this machine's in tests."""
+    from varigrid.plans.storage import discard, shared_dir
+
+    points = P.as_points(spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in cloud(6).items()], "id long, x double, y double"))
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    for reuse in (False, True):
+        before = set(folder.glob("varigrid-*"))
+        labels = C.variant_dbscan(points, [0.5, 0.3, 0.4], [4, 6, 4], reuse=reuse)
+        assert len(set(folder.glob("varigrid-*")) - before) == 1
+        assert labels.count() == 270
+        discard(labels)
+        assert set(folder.glob("varigrid-*")) == before
+    with pytest.raises(ValueError, match="stored"):
+        discard(points)
+
+
+def test_golden_labels(spark):
+    """A file of known labels (FIXTURES.md, F-2), headerless x,y,cluster_0,cluster_1, is named by GOLDEN_LABELS."""
+    if "GOLDEN_LABELS" not in os.environ:
+        pytest.skip("GOLDEN_LABELS names no file")
+    want = [tuple(map(float, r.split(","))) for r in Path(os.environ["GOLDEN_LABELS"]).read_text().split()]
+    points = P.as_points(spark.createDataFrame([(i, r[0], r[1]) for i, r in enumerate(want)], "id long, x double, y double"))
+    rows = P.wide(C.variant_dbscan(points, [1.0, 0.5], [10, 12]), [0, 1]).collect()
+    assert {r.id: (r.cluster_0, r.cluster_1) for r in rows} == {i: (int(r[2]), int(r[3])) for i, r in enumerate(want)}
+    assert [sorted(collections.Counter(r[k] for r in rows).items()) for k in ("cluster_0", "cluster_1")] == [[(0, 22), (1, 98), (2, 105)], [(0, 59), (1, 87), (2, 70), (3, 9)]]
+
+
+def test_range_queries_of_small_and_large_boxes(spark):
+    r = random.Random(8)
+    points = {i: (r.uniform(-50, 50), r.uniform(-50, 50)) for i in range(300)}
+    boxes = [(k, *sorted((x, x + w))[:1], y, x + w, y + h) for k, (x, y, w, h) in enumerate([(0, 0, 0.01, 0.01), (-60, -60, 1e6, 1e6), (-3, 4, 20, 0.5), (10, 10, 0, 0), (-1e7, -1, 2e7, 2)])]
+    df = spark.createDataFrame([(i, *p, i % 3) for i, p in points.items()], "id long, x double, y double, v int")
+    b = spark.createDataFrame([tuple(map(float, x[1:])) for x in boxes], "xmin double, ymin double, xmax double, ymax double").withColumn("box_id", F.monotonically_increasing_id())
+    b = spark.createDataFrame([(int(x[0]), *map(float, x[1:])) for x in boxes], "box_id long, xmin double, ymin double, xmax double, ymax double")
+    want = {(k, i, i % 3) for k, x0, y0, x1, y1 in boxes for i, (x, y) in points.items() if x0 <= x <= x1 and y0 <= y <= y1}
+    assert {(q.box_id, q.id) for q in N.range_query(df, b, 0.5).collect()} == {w[:2] for w in want}
+    assert {(q.box_id, q.id) for q in N.range_query(df, b, 0.5, F.col("v") == 1).collect()} == {w[:2] for w in want if w[2] == 1}
+
+
+def test_row_positions_over_several_files(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"part-{k}.csv").write_text("".join(f"{k},{i}\n" for i in range(5 + 40 * k)))
+    got = [tuple(r) for r in P.read_points_csv(spark, str(tmp_path)).orderBy("id").collect()]
+    assert got == [(n, float(k), float(i)) for n, (k, i) in enumerate((k, i) for k in range(3) for i in range(5 + 40 * k))]
+
+
+def test_one_place_of_many_copies_and_one_large_cluster(spark):
+    """200,000 copies of one point and a cluster of 20,000 points in a row."""
+    copies = spark.range(200_000).select("id", F.lit(1.0).alias("x"), F.lit(1.0).alias("y"))
+    row = spark.range(200_000, 220_000).select("id", (F.col("id") / 10).alias("x"), F.lit(50.0).alias("y"))
+    labels = C.variant_dbscan(copies.unionByName(row), [0.15, 0.05], [3, 2])
+    got = {(r.variant_id, r.cluster): r.n for r in S.cluster_sizes(labels).collect()}
+    assert got == {(0, 1): 200_000, (0, 2): 20_000, (1, 0): 20_000, (1, 1): 200_000}

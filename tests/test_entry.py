@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from varigrid import queries as core
 
-SLOW = {"generated_clusters", "generated_uniform"}
+SLOW = {"dbscan_events"}
 
 
 def rows_of(rows, columns):
@@ -26,7 +26,7 @@ def duck(sf_dir):
     c.close()
 
 
-@pytest.mark.parametrize("name", sorted(set(core.QUERIES) - SLOW - {"dbscan_events"}))
+@pytest.mark.parametrize("name", sorted(set(core.QUERIES) - SLOW))
 def test_query_equals_sql(spark, sf_dir, duck, name):
     df = entry.queries()[name](spark, sf_dir)
     found = rows_of([tuple(r) for r in df.collect()], df.columns)

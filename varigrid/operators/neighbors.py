@@ -6,13 +6,13 @@ epsilon. Directed pairs: (i, j) and (j, i) are two rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varigrid.functions.geometry import cell, distance, overlap
 from varigrid.plans.scan import extent, ranked
 
-#: A little wider than epsilon, so that rounding can't put points at that distance two cells apart.
+#: A little wider than epsilon, so that rounding can't put points at that distance two cells apart while |x| / epsilon is below 4e9.
 SLACK = 1 + 1e-6
 
 
@@ -45,11 +45,13 @@ def eps_join(points: DataFrame, eps: float, others: DataFrame | None = None) ->
     return near.drop("kx", "ky", "x1", "y1", "x2", "y2")
 
 
-def eps_join_brute(points: DataFrame, eps: float) -> DataFrame:
-    """The same pairs by comparing all with all; only to check the grid on small tables."""
-    a = points.select(F.col("id").alias("i"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    b = points.select(F.col("id").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    return a.crossJoin(b).select("i", "j", distance("x1", "y1", "x2", "y2").alias("dist")).filter(F.col("dist") <= F.lit(float(eps)))
+def eps_join_brute(points: DataFrame, eps: float, blocks: int = 8) -> DataFrame:
+    """The same pairs by comparing all with all, block by block; only to check the grid on small tables."""
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = points.select(F.col("id").alias("i"), F.col("x").alias("x1"), F.col("y").alias("y1"), block.alias("p"), every.alias("q"))
+    b = points.select(F.col("id").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), block.alias("q"), every.alias("p"))
+    return a.join(b, ["p", "q"]).select("i", "j", distance("x1", "y1", "x2", "y2").alias("dist")).filter(F.col("dist") <= F.lit(float(eps)))
 
 
 def narrowed(edges: DataFrame, eps: float) -> DataFrame:
@@ -92,18 +94,29 @@ def estimated_pairs(points: DataFrame, eps: float, every: int = 100) -> DataFram
     return found.agg((F.count("*") * every).alias("estimate")).withColumn("bound", F.col("estimate") * 1.05)
 
 
-def estimated_from_larger(pairs: int, eps: float, larger: float, alpha: float = 1.0) -> float:
-    """Pairs expected at eps if there are ``pairs`` at a larger epsilon: by the ratio of areas."""
+def estimated_from_larger(pairs, eps: float, larger: float, alpha: float = 1.0):
+    """Pairs expected at eps if there are ``pairs``, a number or column, at a larger epsilon: by the ratio of areas."""
     return alpha * pairs * (eps / larger) ** 2
 
 
-def range_query(points: DataFrame, boxes: DataFrame, width: float) -> DataFrame:
-    """(box_id, id) of the points in closed boxes (box_id, xmin, ymin, xmax, ymax), by the cells of this width that a box meets."""
-    span = lambda a, b: F.explode(F.sequence(cell(a, width), cell(b, width)))
-    cells = boxes.withColumn("cx", span("xmin", "xmax")).withColumn("cy", span("ymin", "ymax"))
-    hit = with_cells(points, width).join(cells, ["cx", "cy"])
+def range_query(points: DataFrame, boxes: DataFrame, width: float, where: Column | None = None) -> DataFrame:
+    """(box_id, id) of the points in closed boxes (box_id, xmin, ymin, xmax, ymax), and for which ``where`` holds.
+
+    A box is looked up in a grid of its own size, ``width`` doubled until the box
+    meets three cells at most on each side; points are dealt to the grids that
+    occur, of which there are as many as the boxes' sizes have powers of two.
+    """
+    side = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side, F.lit(0.0)) / F.lit(float(width)))).cast("int"))
+    asked = boxes.withColumn("level", F.coalesce(level, F.lit(0)))
+    levels = [r.level for r in asked.select("level").distinct().collect()]
+    at = lambda c: F.floor(F.col(c) / (F.lit(float(width)) * F.pow(F.lit(2.0), F.col("level")))).cast("long")
+    span = lambda a, b: F.explode(F.sequence(at(a), at(b)))
+    cells = asked.filter("xmin <= xmax AND ymin <= ymax").withColumn("cx", span("xmin", "xmax")).withColumn("cy", span("ymin", "ymax"))
+    some = points if where is None else points.filter(where)
+    dealt = some.select("id", "x", "y").withColumn("level", F.explode(F.array(*[F.lit(k) for k in levels or [0]]))).withColumn("cx", at("x")).withColumn("cy", at("y"))
     inside = F.col("x").between(F.col("xmin"), F.col("xmax")) & F.col("y").between(F.col("ymin"), F.col("ymax"))
-    return hit.filter(inside).select("box_id", "id")
+    return dealt.join(cells, ["level", "cx", "cy"]).filter(inside).select("box_id", "id")
 
 
 def box_overlaps(a: DataFrame, b: DataFrame, width: float) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
 import uuid
 
@@ -14,13 +13,17 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is made.
+    Only where that is unset and all runs on one machine, as in tests, a temporary
+    folder is made. On a cluster a folder of one machine would lose rows.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = root.get() if root.isDefined() else None
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors of {master} share")
         root = "file://" + tempfile.mkdtemp(prefix="varigrid-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -30,16 +33,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and return it as read from there.
 
     This cuts the lineage; a lost executor costs nothing that was written. The
-    shuffle files of the job that wrote it are removed at its end.
+    shuffle files of the job that wrote it are removed at its end, where the
+    session lets that be set. ``discard`` removes the table.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/varigrid-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, None)
-    with contextlib.suppress(Exception):
+    before, can = spark.conf.get(_CLEAN, None), spark.conf.isModifiable(_CLEAN)
+    if can:
         spark.conf.set(_CLEAN, "true")
     try:
         df.write.parquet(path)
     finally:
-        with contextlib.suppress(Exception):
+        if can:
             spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``stored`` made, once all that reads them has been stored or used."""
+    for table in tables:
+        path = getattr(table, "_stored_path", None)
+        if path is None:
+            raise ValueError("not a stored table")
+        spark = table.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

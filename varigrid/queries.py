@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varigrid.functions.geometry import degree_bin
+from varigrid.functions.geometry import box_around, box_of_corners, degree_bin
 from varigrid.operators import cluster as C
 from varigrid.operators import neighbors as N
 from varigrid.operators import stats as S
 from varigrid.plans import variants as V
 from varigrid.plans.scan import extent, ranked
-from varigrid.plans.storage import stored
+from varigrid.plans.storage import shared_dir, stored
 from varigrid.sources import points as P
 
 SETTINGS = {
@@ -160,9 +160,102 @@ def _wide(spark, d):
     return P.wide(labels(spark, d, "embeddings"), [0, 1, 2])
 
 
-def _geo(spark, d):
+def _geo_columns(spark, d):
     t = spark.read.parquet(f"{d}/customer.parquet")
-    return P.geo_points(t.select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 120.0).alias("latitude"), F.col("c_nationkey").cast("double").alias("longitude")))
+    return t.select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 120.0).alias("latitude"), F.col("c_nationkey").cast("double").alias("longitude"))
+
+
+def _geo(spark, d):
+    return P.geo_points(_geo_columns(spark, d))
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/varigrid-{name}-{uuid.uuid4().hex}"
+
+
+def _points_csv(spark, d):
+    """Points written as CSV in id order and read back."""
+    path = _folder(spark, "points-csv")
+    load(spark, d, "part").orderBy("id").select("x", "y").write.csv(path)
+    return P.read_points_csv(spark, path)
+
+
+def _geo_csv(spark, d):
+    path = _folder(spark, "geo-csv")
+    _geo_columns(spark, d).orderBy("id").select("longitude", "latitude", F.lit(5.0).alias("tec"), F.lit("noon").alias("time")).write.csv(path)
+    return P.read_geo_csv(spark, path)
+
+
+def _variants_csv(spark, d):
+    path = _folder(spark, "variants-csv")
+    spark.createDataFrame([(float(e), m) for e, m in GROWING], "epsilon double, minpts int").coalesce(1).write.csv(path)
+    return P.read_variants_csv(spark, path)
+
+
+def _array_labels(spark, d):
+    """In-memory points through the array entry point; its callers hold the arrays."""
+    import numpy as np
+    import pyarrow as pa
+
+    t = load(spark, d, "embeddings").orderBy("id").toArrow()
+    out = C.cluster_arrays([e for e, _ in SETTINGS["embeddings"]], [m for _, m in SETTINGS["embeddings"]], np.asarray(t["x"]), np.asarray(t["y"]), spark=spark)
+    return spark.createDataFrame(pa.table({"id": np.asarray(t["id"]), **{f"cluster_{k}": out[:, k].astype(np.int32) for k in range(out.shape[1])}}))
+
+
+def _wide_csv(spark, d):
+    """The CSV sink's lines, read back as text."""
+    path, points = _folder(spark, "labels-csv"), load(spark, d, "embeddings")
+    P.write_wide_csv(P.wide(labels(spark, d, "embeddings"), [0, 1, 2], points), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+TRIALS = [(eps, trial, 10.0 * eps + trial * trial) for eps in (0.5, 1.0, 2.0) for trial in range(4)]
+
+
+def _metrics(spark):
+    path = _folder(spark, "metrics")
+    for eps, trial, seconds in TRIALS:
+        P.append_metrics(spark, {"epsilon": eps, "trial": trial, "seconds": seconds}, path)
+    return spark.read.schema("epsilon double, trial long, seconds double").parquet(path)
+
+
+def _corner_boxes(spark, d):
+    p = load(spark, d, "part").withColumn("x2", F.col("y") - F.col("x")).withColumn("y2", F.col("x") * 2)
+    own = [c.alias(f"own_{n}") for c, n in zip(box_around("x", "y", 1.5), ("xmin", "ymin", "xmax", "ymax"), strict=True)]
+    return p.select("id", *box_of_corners("x", "y", "x2", "y2"), *own)
+
+
+def _saved_range(spark, d):
+    path = _folder(spark, "cells")
+    P.save_cells(load(spark, d, "embeddings"), 0.1, path)
+    return P.saved_range_query(spark, path, spark.createDataFrame(BOXES, "box_id int, xmin double, ymin double, xmax double, ymax double"), 0.1)
+
+
+def _range_where(spark, d):
+    t = spark.read.parquet(f"{d}/embeddings.parquet")
+    p = P.as_points(t.select(F.col("vec_id").alias("id"), F.element_at("embedding", 1).alias("x"), F.element_at("embedding", 2).alias("y"), "label"), keep=["label"])
+    return N.range_query(p, spark.createDataFrame(BOXES, "box_id int, xmin double, ymin double, xmax double, ymax double"), 0.1, F.col("label") % 2 == 0)
+
+
+def _grid_against_brute(spark, d):
+    """Pairs that the grid join and the brute-force join don't share."""
+    points = load(spark, d, "embeddings")
+    a, b = N.eps_join(points, EPS).select("i", "j"), N.eps_join_brute(points, EPS).select("i", "j")
+    apart = a.withColumn("side", F.lit(1)).unionByName(b.withColumn("side", F.lit(2))).groupBy("i", "j").agg(F.sum("side").alias("sides")).filter("sides <> 3")
+    return apart.agg(F.count("*").alias("pairs_apart"))
+
+
+def _estimate_from_larger(spark, d):
+    pairs = N.total_neighbors(_edges(spark, d, 0.05), [0.05]).select("pairs")
+    return pairs.select(*[N.estimated_from_larger(F.col("pairs"), e, 0.05).alias(f"at_{int(e * 100)}") for e in (0.01, 0.02, 0.03)])
+
+
+def _counts(spark, d):
+    sources = [load(spark, d, source).agg(F.count("*").alias("points")).select(F.lit(source).alias("source"), "points") for source in sorted(SETTINGS)]
+    out = sources[0]
+    for s in sources[1:]:
+        out = out.unionByName(s)
+    return out
 
 
 def _degree_bins(spark, d):
@@ -199,6 +292,16 @@ def _cells_sql(select: str, eps: float = 2.0, source: str = "part") -> str:
     return f"WITH {_pts(source)}, x AS (SELECT min(x) AS x0, min(y) AS y0 FROM pts), cells AS (SELECT cx, cy, count(*) AS n FROM (SELECT {_CELL.format(e=e)} FROM pts, x) GROUP BY cx, cy) {select}"
 
 
+def _uniform_sql(seed: int) -> str:
+    return f"(CAST(CAST(concat('0x', md5(concat('{seed}:', id))[1:8]) AS BIGINT) AS DOUBLE) / CAST(4294967296 AS DOUBLE))"
+
+
+#: Centres of the clustered generator.
+_CENTRES = ", ".join(f"({i}, CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for i, (a, b) in enumerate(P.CENTRES))
+_POINTS["clustered"] = f"SELECT id, cx + ({_uniform_sql(0)} * 2 - 1) * 5 AS x, cy + ({_uniform_sql(1)} * 2 - 1) * 5 AS y FROM (SELECT range AS id FROM range(1400)) JOIN (VALUES {_CENTRES}) c(k, cx, cy) ON id // 200 = k"
+_POINTS["uniform"] = f"SELECT id, {_uniform_sql(0)} * 180 AS x, {_uniform_sql(1)} * 360 AS y FROM (SELECT range AS id FROM range(20000))"
+_GRID = "SELECT full_cells + empty_cells AS cells, * FROM (SELECT count(*) AS full_cells, (SELECT (CAST(ceil((max(x) - (min(x) - 2.5)) / 5) AS BIGINT) + 1) * (CAST(ceil((max(y) - (min(y) - 2.5)) / 5) AS BIGINT) + 1) FROM pts) - count(*) AS empty_cells, max(n) AS most FROM cells)"
+
 _EMB1 = [SETTINGS["embeddings"][1]]
 _BOX = "SELECT variant_id, cluster, count(*) AS n, min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax FROM labels WHERE cluster > 0 GROUP BY variant_id, cluster"
 _BOX_VALUES = ", ".join(f"({i}, " + ", ".join(f"CAST({v!r} AS DOUBLE)" for v in b) + ")" for i, *b in BOXES)
@@ -248,8 +351,22 @@ _ALL = {
     "geo_remap": (_geo, "SELECT c_custkey AS id, CASE WHEN l > 0 THEN (90 - l) / 90 * 90 ELSE (-l / 90) * 90 + 90 END AS x, CAST(c_nationkey AS DOUBLE) AS y FROM (SELECT *, c_acctbal / CAST(120.0 AS DOUBLE) AS l FROM customer)"),
     "strided_batches": (lambda s, d: N.batches(load(s, d, "part"), 7).groupBy("batch").agg(F.count("*").alias("n"), F.min("id").alias("first_id")), f"WITH {_pts('part')}, k AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM p) SELECT CAST(n % 7 AS INTEGER) AS batch, count(*) AS n, min(id) AS first_id FROM k GROUP BY 1"),
     "degree_bin_sort": (_degree_bins, f"WITH {_pts('customer')}, b AS (SELECT id, CAST(ceil(x) AS BIGINT) AS bin_x, CAST(ceil(y) AS BIGINT) AS bin_y FROM p) SELECT id, bin_x, bin_y, row_number() OVER (ORDER BY bin_x, bin_y, id) AS position FROM b"),
-    "generated_clusters": (lambda s, d: C.variant_dbscan(P.clustered_points(s, 7000), [0.6], [4]).groupBy("cluster").agg(F.count("*").alias("n")), None),
-    "generated_uniform": (lambda s, d: N.grid_summary(P.random_points(s, 20000), 5.0), None),
+    "generated_clusters": (lambda s, d: C.variant_dbscan(P.clustered_points(s, 1400), [0.6], [4]), _labels_sql("clustered", [(0.6, 4)])),
+    "generated_uniform": (lambda s, d: N.grid_summary(P.random_points(s, 20000), 5.0), _cells_sql(_GRID, 5.0, "uniform")),
+    "points_csv": (_points_csv, f"WITH {_pts('part')} SELECT row_number() OVER (ORDER BY id) - 1 AS id, x, y FROM p"),
+    "geo_csv": (_geo_csv, "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS id, CASE WHEN l > 0 THEN (90 - l) / 90 * 90 ELSE (-l / 90) * 90 + 90 END AS x, CAST(c_nationkey AS DOUBLE) AS y FROM (SELECT *, c_acctbal / CAST(120.0 AS DOUBLE) AS l FROM customer)"),
+    "variants_csv": (_variants_csv, _variants_sql("SELECT variant_id, epsilon, minpts, row_number() OVER (ORDER BY epsilon DESC, minpts, variant_id) AS position FROM o")),
+    "array_labels": (_array_labels, _labels_sql("embeddings", select="SELECT id, max(CASE WHEN variant_id = 0 THEN cluster END) AS cluster_0, max(CASE WHEN variant_id = 1 THEN cluster END) AS cluster_1, max(CASE WHEN variant_id = 2 THEN cluster END) AS cluster_2 FROM labels GROUP BY id")),
+    "labels_csv": (_wide_csv, _labels_sql("embeddings", select="SELECT printf('%.4f,%.4f,%d,%d,%d', x, y, max(CASE WHEN variant_id = 0 THEN cluster END), max(CASE WHEN variant_id = 1 THEN cluster END), max(CASE WHEN variant_id = 2 THEN cluster END)) AS line FROM labels GROUP BY id, x, y")),
+    "metrics_appended": (lambda s, d: _metrics(s), f"SELECT CAST(a AS DOUBLE) AS epsilon, CAST(b AS BIGINT) AS trial, CAST(c AS DOUBLE) AS seconds FROM (VALUES {', '.join(map(str, TRIALS))}) t(a, b, c)"),
+    "trial_means": (lambda s, d: P.trial_means(_metrics(s), ["epsilon"], "seconds"), f"SELECT CAST(a AS DOUBLE) AS epsilon, avg(CAST(c AS DOUBLE)) AS mean_seconds FROM (VALUES {', '.join(map(str, TRIALS))}) t(a, b, c) WHERE b > 0 GROUP BY a"),
+    "corner_boxes": (_corner_boxes, f"WITH {_pts('part')} SELECT id, least(x, y - x) AS xmin, least(y, x * 2) AS ymin, greatest(x, y - x) AS xmax, greatest(y, x * 2) AS ymax, x - 1.5 AS own_xmin, y - 1.5 AS own_ymin, x + 1.5 AS own_xmax, y + 1.5 AS own_ymax FROM p"),
+    "saved_range_query": (_saved_range, f"WITH {_pts('embeddings')}, b(box_id, xmin, ymin, xmax, ymax) AS (VALUES {_BOX_VALUES}) SELECT box_id, id FROM b, p WHERE x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax"),
+    "range_query_where": (_range_where, f"WITH {_pts('embeddings')}, b(box_id, xmin, ymin, xmax, ymax) AS (VALUES {_BOX_VALUES}) SELECT box_id, id FROM b, p JOIN embeddings ON id = vec_id WHERE x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax AND label % 2 = 0"),
+    "grid_against_brute": (_grid_against_brute, "SELECT CAST(0 AS BIGINT) AS pairs_apart"),
+    "estimate_from_larger": (_estimate_from_larger, _edges_sql("embeddings", 0.05, ", n AS (SELECT CAST(count(*) AS DOUBLE) AS c FROM e) SELECT c * pow(CAST(0.01 AS DOUBLE) / CAST(0.05 AS DOUBLE), 2) AS at_1, c * pow(CAST(0.02 AS DOUBLE) / CAST(0.05 AS DOUBLE), 2) AS at_2, c * pow(CAST(0.03 AS DOUBLE) / CAST(0.05 AS DOUBLE), 2) AS at_3 FROM n")),
+    "checked_variants": (lambda s, d: _frame(s, [(1, 8.9), (2.5, 4)]), "SELECT * FROM (VALUES (0, CAST(1 AS DOUBLE), 8), (1, CAST(2.5 AS DOUBLE), 4)) t(variant_id, epsilon, minpts)"),
+    "point_counts": (_counts, " UNION ALL ".join(f"SELECT '{source}' AS source, count(*) AS points FROM ({_POINTS[source]}) WHERE {_FINE}" for source in SETTINGS)),
 }
 
 QUERIES = {k: q for k, (q, _) in _ALL.items()}
@@ -259,7 +376,3 @@ ORACLE_SQL = {k: sql for k, (_, sql) in _ALL.items() if sql}
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels(spark, sf_dir, "embeddings")
 
-
-def radius_for(points: int, at: float, base_points: int) -> float:
-    """An epsilon that keeps neighbours per point when a table has more points in the same extent."""
-    return at * math.sqrt(base_points / max(points, 1))

@@ -4,26 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from varigrid.functions.geometry import cell
 from varigrid.plans import variants as V
 
 #: Centres of the clustered generator.
 CENTRES = ((20.0, 20.0), (20.0, 345.0), (90.0, 180.0), (160.0, 20.0), (160.0, 345.0), (90.0, 355.0), (90.0, 5.0))
 
 
-def as_points(df: DataFrame, id: str = "id", x: str = "x", y: str = "y") -> DataFrame:  # noqa: A002
-    """(id bigint, x double, y double); rows with a null, NaN or infinite value are left out, as they have no neighbours."""
-    p = df.select(F.col(id).cast("long").alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+def as_points(df: DataFrame, id: str = "id", x: str = "x", y: str = "y", keep: Sequence[str] = ()) -> DataFrame:  # noqa: A002
+    """(id bigint, x double, y double) and the columns to keep; rows with a null, NaN or infinite value are left out, as they have no neighbours."""
+    p = df.select(F.col(id).cast("long").alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), *keep)
     fine = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
     return p.filter(F.col("id").isNotNull() & fine("x") & fine("y"))
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """Adds ``id``, the row's position from 0 in the files' order, from per-partition counts."""
-    schema = df.schema.add("id", "long")
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])), schema)
+def numbered(files: DataFrame) -> DataFrame:
+    """Adds ``id``, the row's position from 0 in the order of file names, to a frame as read from files.
+
+    Rows of one block of a file are numbered as they are read; what is before the
+    block is a sum over one count a block.
+    """
+    rows = files.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    blocks = rows.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return rows.join(blocks, ["_file", "_block"]).select(*files.columns, (F.col("_before") + F.col("_row") - F.col("_first")).cast("long").alias("id"))
 
 
 def read_points_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -62,9 +70,14 @@ def from_arrays(spark: SparkSession, x: Sequence[float], y: Sequence[float]) ->
     return as_points(spark.createDataFrame(table))
 
 
+def _uniform(seed: int):
+    """A number from 0 to 1 for each id, from a hash of seed and id: the same wherever it is made."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+
+
 def random_points(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     """n points uniform in 180 x 360."""
-    return spark.range(n).select("id", (F.rand(seed) * 180).alias("x"), (F.rand(seed + 1) * 360).alias("y"))
+    return spark.range(n).select("id", (_uniform(seed) * 180).alias("x"), (_uniform(seed + 1) * 360).alias("y"))
 
 
 def clustered_points(spark: SparkSession, n: int, seed: int = 0, clusters: int = len(CENTRES), half: float = 5.0) -> DataFrame:
@@ -72,7 +85,7 @@ def clustered_points(spark: SparkSession, n: int, seed: int = 0, clusters: int =
     each = n // clusters
     centre = F.element_at(F.array(*[F.struct(F.lit(a).alias("cx"), F.lit(b).alias("cy")) for a, b in CENTRES[:clusters]]), (F.floor(F.col("id") / max(each, 1)) + 1).cast("int"))
     p = spark.range(each * clusters).withColumn("c", centre)
-    return p.select("id", (F.col("c.cx") + (F.rand(seed) * 2 - 1) * half).alias("x"), (F.col("c.cy") + (F.rand(seed + 1) * 2 - 1) * half).alias("y"))
+    return p.select("id", (F.col("c.cx") + (_uniform(seed) * 2 - 1) * half).alias("x"), (F.col("c.cy") + (_uniform(seed + 1) * 2 - 1) * half).alias("y"))
 
 
 def wide(labels: DataFrame, variant_ids: Sequence[int], points: DataFrame | None = None) -> DataFrame:
@@ -106,12 +119,22 @@ def trial_means(trials: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def save_cells(points: DataFrame, width: float, path: str, buckets: int = 64) -> None:
-    """Store points with their cells, partitioned by a hash of the cell, for later range queries."""
-    from varigrid.functions.geometry import cell
-
+    """Store points by the cell of this width that they lie in, partitioned by a hash of the cell, for ``saved_range_query``."""
     p = points.withColumn("cx", cell("x", width)).withColumn("cy", cell("y", width))
-    p.withColumn("bucket", F.pmod(F.hash("cx", "cy"), F.lit(buckets))).write.partitionBy("bucket").parquet(path)
+    p.withColumn("bucket", F.pmod(F.hash("cx", "cy"), F.lit(buckets))).repartition("bucket").write.partitionBy("bucket").parquet(path)
 
 
 def load_cells(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def saved_range_query(spark: SparkSession, path: str, boxes: DataFrame, width: float, buckets: int = 64) -> DataFrame:
+    """(box_id, id) of saved points in closed boxes (box_id, xmin, ymin, xmax, ymax), for boxes of few cells.
+
+    A box names its cells, a cell its bucket; where the boxes are few enough to be
+    broadcast, only the folders of their buckets are read.
+    """
+    span = lambda a, b: F.explode(F.sequence(cell(a, width), cell(b, width)))
+    asked = boxes.withColumn("cx", span("xmin", "xmax")).withColumn("cy", span("ymin", "ymax")).withColumn("bucket", F.pmod(F.hash("cx", "cy"), F.lit(buckets)))
+    hit = load_cells(spark, path).join(asked, ["bucket", "cx", "cy"])
+    return hit.filter(F.col("x").between(F.col("xmin"), F.col("xmax")) & F.col("y").between(F.col("ymin"), F.col("ymax"))).select("box_id", "id")
