@@ -390,8 +390,9 @@ def test_decontamination_finds_each_of_many_items(spark):
     items = [(k, prose(5000 + k, 30)) for k in range(1100)]
     docs = spark.createDataFrame([(k, " ".join(t for _, t in items[5 * k : 5 * k + 5])) for k in range(220)], "doc_id long, text string")
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in decontamination.contamination(docs, benchmark).collect()}
-    assert got == {(k // 5, k) for k in range(1100)}
+    for group in (decontamination.GROUP, 400):  # one scan, three scans
+        got = {(r.doc_id, r.item_id) for r in decontamination.contamination(docs, benchmark, group).collect()}
+        assert got == {(k // 5, k) for k in range(1100)}
 
 
 def test_decontamination_finds_items_reworded_down_to_the_rule(spark):
@@ -411,27 +412,86 @@ def test_decontamination_finds_items_reworded_down_to_the_rule(spark):
     assert got == {(k, k) for k, _ in items}
 
 
-def test_windows_with_repeated_terms_reach_the_cosine():
-    """Five times one word among 24 of equal weights: a cosine of sqrt(25 / 44), though 5 of 24 occurrences."""
-    (words,) = textvec.word_chunks(pa.array([" ".join([f"a{i}" for i in range(24)] + ["same"] * 5 + [f"b{i}" for i in range(19)])]), True)
-    (item,) = textvec.word_chunks(pa.array(["same " * 5]), True)
-    weights = np.ones(decontamination.TERMS, np.float32)
-    terms = (item.hashes[:1] & decontamination._MASK).astype(np.int64)
-    one = decontamination.Round([decontamination.Item(1, item.hashes)], weights, terms, np.ones((1, 1), np.float32))
-    one.least[:] = np.inf  # the cosine's gate alone
-    cosines = [cos for _, first, end, _, cos in one.candidates(words) if (first, end) == (24, 48)]
-    assert cosines and cosines == pytest.approx([(25 / 44) ** 0.5] * len(cosines), abs=1e-5)
-
-
-def test_latent_space_is_the_svd(spark):
-    rng = np.random.default_rng(0)
-    a = rng.normal(size=(12, 5)) @ rng.normal(size=(5, 9))
-    rows = [(list(range(9)), r.tolist()) for r in a]
-    terms, latent = decontamination.latent_space(spark.createDataFrame(rows, "terms array<long>, weights array<double>"), rank=8)
-    assert terms.tolist() == list(range(9))
-    assert latent.shape == (9, 5)
-    _, _, vt = np.linalg.svd(a)
-    assert np.abs(np.abs(latent.T @ vt[:5].T) - np.eye(5)).max() < 1e-4
+def test_latent_directions_are_the_svd(spark):
+    """Sums over tasks against the matrix itself, then its singular vectors: exact where the rank is below the sketch."""
+    texts = [prose(600 + k, 56) for k in range(40)] + [None, ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    n, df = decontamination.document_frequencies(docs)
+    weights = decontamination.term_weights(n, df)
+    found = decontamination.latent_space(docs, weights)
+    rows = np.zeros((40, decontamination.TERMS))
+    for k, words in enumerate(next(textvec.word_chunks(pa.array([t]), True)) for t in texts[:40]):
+        np.add.at(rows[k], (words.hashes & decontamination._MASK).astype(int), 1)
+    assert n == 42 and df.tolist() == (rows > 0).sum(0).tolist()
+    rows *= weights
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    _, value, right = np.linalg.svd(rows, full_matrices=False)
+    latent = right.T / value
+    mean = rows.sum(0) @ latent
+    latent = latent - np.outer(latent @ mean, mean) / (mean @ mean)
+    latent *= weights[:, None]
+    used = np.flatnonzero(rows.any(0))
+    want = latent[used] @ latent[used].T  # the same whatever the signs of the directions
+    got = found[used].astype(float)
+    assert np.abs(got @ got.T - want).max() < 2e-2 * np.abs(want).max()
+
+
+def test_the_latent_space_finds_what_plain_cosine_misses(spark):
+    """Words of a pair occur in the same contexts; the paraphrase has the other word of half of the pairs."""
+    r = random.Random(17)
+    topics = [[(f"t{t}a{i}", f"t{t}b{i}") for i in range(12)] for t in range(30)]
+    docs = []
+    for k in range(900):
+        words = [w for pair in topics[k % 30] for w in pair]
+        r.shuffle(words)
+        docs.append(" ".join([*words[:16], *(f"x{r.randrange(4000)}" for _ in range(8))]))
+    item = " ".join(a for a, _ in topics[3])
+    paraphrase = " ".join(b if i % 2 else a for i, (a, b) in enumerate(topics[3]))
+    frame = spark.createDataFrame([(t,) for t in docs], "text string")
+    weights = decontamination.term_weights(*decontamination.document_frequencies(frame))
+    latent = decontamination.latent_space(frame, weights, rank=32)
+
+    def cosines(x, y):
+        (a,), (b,) = (list(textvec.word_chunks(pa.array([t]), True)) for t in (x, y))
+        at, bt = ((w.hashes & decontamination._MASK).astype(int) for w in (a, b))
+        unit = lambda v: v / np.linalg.norm(v)
+        plain = [np.bincount(t, weights[t], decontamination.TERMS) for t in (at, bt)]
+        return unit(latent[at].sum(0)) @ unit(latent[bt].sum(0)), unit(plain[0]) @ unit(plain[1])
+
+    near, plain = cosines(item, paraphrase)
+    assert near > 0.9 > 0.6 > plain
+    other = " ".join(a for a, _ in topics[7])
+    assert cosines(item, other)[0] < decontamination.NEAR
+
+
+def test_recall_of_reworded_items_on_the_test_table(spark):
+    """Each benchmark item in the midst of words of the corpus, a part of its words replaced: at least 0.9 are found, verbatim all."""
+    r = random.Random(5)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    benchmark = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    vocabulary = [w for d in docs.limit(200).collect() for w in (d.text or "").split()]
+    rows, want = [], {}
+    for share in (0.0, 0.2, 0.4):
+        for item in benchmark.collect():
+            words = item.text.split()
+            n = len(words)
+            for i in r.sample(range(n - max(3, -(-n // 5))), int(share * n)):
+                words[i] = r.choice(vocabulary)
+            around = [r.choice(vocabulary) for _ in range(300)]
+            rows.append((10**9 + len(rows), " ".join([*around[:100], *words, *around[100:]])))
+            want[rows[-1][0]] = (share, item.item_id)
+    got = {(x.doc_id, x.item_id) for x in decontamination.contamination(docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string")), benchmark).collect()}
+    found = collections.Counter(share for i, (share, item) in want.items() if (i, item) in got)
+    each = len(want) // 3
+    assert found[0.0] == each and found[0.2] >= 0.9 * each and found[0.4] >= 0.9 * each
+
+
+def test_a_very_long_text_is_searched_whole(spark):
+    item = prose(70, 40)
+    docs = spark.createDataFrame([(1, f"{prose(3, 150_000)} {item} {prose(4, 100)}"), (2, prose(5, 5000))], "doc_id long, text string")
+    got = decontamination.contamination(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.common) for r in got] == [(1, 7, 40)]
+    assert 149_800 < got[0].first_word <= 150_000 and 150_040 <= got[0].end_word < 150_140
 
 
 def test_held_out_flag_matches_spark(spark):

@@ -2,34 +2,35 @@
 
 1. Document frequencies of all words, hashed into ``TERMS`` buckets, over all
    documents. A term weighs FLOOR + log((N + 1) / (df + 1)).
-2. Benchmark items are cut into passages of at most ``PASSAGE`` words. A randomised
-   SVD of their TF-IDF rows (random start, one subspace step, both as sums over
-   partitions; the driver sees Gram matrices and the term vectors of one round of
-   at most ``ROUND`` passages, or of one longer item) gives the latent directions.
-   Its rank exceeds the round's passages, so the directions span all of them and
-   no number of items costs a passage its own direction.
-3. Each document is cut into hops of ``HOP`` words. The projection of a hop on all
-   passages of the round is a sum over its words; windows are sums over hops. A
-   window and a passage become candidates
-   a. if, in windows of ``SIZES`` hops, their cosine can reach ``NEAR`` (the norm is
-      bounded from below by each word's own weight), or
-   b. if, in windows that hold any run of words twice as long as the passage, the
-      product reaches the least one that step 4 can accept, and the window has as
-      many words of the passage. Both are exact bounds: whatever words are replaced, the
-      least sum that the rule leaves is taken (less ``SLACK`` for rounding).
+2. All documents are cut into passages of ``PASSAGE`` words, rows of a TF-IDF matrix
+   A. A randomised SVD gives its leading right singular vectors: each task sums
+   A'(A Omega) over the passages it reads, Omega being ``SKETCH`` columns of random signs;
+   the sums are added up by ranges of terms, and the driver, which gets a matrix of
+   at most TERMS * (SKETCH + 1) numbers, takes the ``RANK`` leading directions (Nystroem's
+   method for the positive matrix A'A, so one pass is enough). Latent coordinates
+   are scaled to unit variance over passages and centred, as otherwise the
+   direction that all passages share would decide every cosine.
+3. Benchmark items are cut into passages of 28 to 84 words, or are one. Each has a latent
+   vector. Documents are read in hops of ``HOP`` words; a window of hops, a little
+   longer than the passage, is a candidate if its latent cosine with the passage
+   reaches ``NEAR``, and it or the hops around hold enough of the passage's words
+   for step 4 to accept.
 4. Around each candidate the longest common subsequence of words is taken. An item
    is in the document if it covers ``COVER`` of its words, or ``REWORDED`` of them
    and the answer, the item's last fifth and three words at least, is there in full
-   and in order. An item of several passages has ``REWORDED`` of the words of one
-   of them at least, which is what (b) asks of its passages.
+   and in order.
 
-Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Window texts are read whole;
+One scan searches for up to ``GROUP`` passages, whose latent vectors and words are
+broadcast; a larger benchmark takes a scan for each such group.
+
+Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Texts are read whole;
 no item and no document has a cap.
 
 Defined cases: null or empty texts match nothing; items without words are never
 found; items with the same words are each reported. A null doc_id or item_id is
 reported as null. An empty table gives no rows. Repeated documents are each
-searched and their equal rows reported once. Other columns are ignored.
+searched and their equal rows reported once. Very long texts are searched in runs
+of bounded size. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,55 +42,79 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varigrid.llm.blocks import bounded, pack, unpack
+from varigrid.llm.blocks import bounded
 from varigrid.llm.textvec import mix, word_chunks
 
 TERMS = 1 << 18
 FLOOR = 0.05
 PASSAGE = 56
-RANK = 320
-ROUND = 256
+SKETCH = 128
+RANK = 128
 HOP = 8
-SIZES = (3, 8)
-NEAR = 0.5
+NEAR = 0.34
 COVER = 0.8
 REWORDED = 0.6
 ANSWER = 5
-STRETCH = 2
-SLACK = 1e-3
-RUN = 512
-_SLICES = 64
+GROUP = 1 << 15
+RUN = 2048
+_CHUNK_WORDS = 1 << 16
+_SLICES = 256
 _MASK = np.uint64(TERMS - 1)
 
 
+def _added(rows: DataFrame, schema: str, width: int, kind: str) -> list:
+    """Sums of (slice, at, values) rows by slice: rows of a slice stream through one task, which holds sums only."""
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                k = batch.column(0)[i].as_py()
+                if k not in total:
+                    total[k] = np.zeros((TERMS // _SLICES, width), kind)
+                total[k][np.frombuffer(batch.column(1)[i].as_buffer(), np.uint16)] += np.frombuffer(batch.column(2)[i].as_buffer(), kind).reshape(-1, width)
+        for k, x in total.items():
+            at = np.flatnonzero(x.any(1)).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([x[at].tobytes()], pa.binary())], names=["slice", "at", "values"])
+
+    return rows.repartition("slice").mapInArrow(add, schema).collect()
+
+
+_SUMS = "slice int, at binary, values binary"
+
+
+def _sliced(x: np.ndarray):
+    """The rows of a table of terms that aren't all zero, by slices."""
+    each = TERMS // _SLICES
+    for k in range(_SLICES):
+        part = x[k * each : (k + 1) * each]
+        at = np.flatnonzero(part.any(1)).astype(np.uint16)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([part[at].tobytes()], pa.binary())], names=["slice", "at", "values"])
+
+
+def _whole(parts, width: int, kind: str) -> np.ndarray:
+    out, each = np.zeros((TERMS, width), kind), TERMS // _SLICES
+    for r in parts:
+        out[r.slice * each + np.frombuffer(bytes(r.at), np.uint16).astype(np.int64)] = np.frombuffer(bytes(r["values"]), kind).reshape(-1, width)
+    return out
+
+
 def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     """Number of documents, and how many of them hold a word of each bucket. The size of both is fixed."""
-    width = TERMS // _SLICES
 
     def run(batches):
-        df, n = np.zeros(TERMS, np.int64), 0
+        df = np.zeros((TERMS, 1), np.int64)
         for batch in bounded(batches):
-            n += batch.num_rows
             for words in word_chunks(batch.column(0), True):
                 row = np.repeat(np.arange(len(words.counts), dtype=np.uint64), words.counts)
                 keys = np.sort(row * np.uint64(TERMS) + (words.hashes & _MASK))
                 new = np.ones(len(keys), bool)
                 new[1:] = keys[1:] != keys[:-1]
-                df += np.bincount((keys[new] & _MASK).astype(np.int64), minlength=TERMS)
-        part = [{"slice": -1, "df": pack(np.array([n]))}] + [{"slice": i, "df": pack(df[i * width : (i + 1) * width])} for i in range(_SLICES)]
-        yield pa.RecordBatch.from_pylist(part, pa.schema([("slice", pa.int32()), ("df", pa.binary())]))
+                df[:, 0] += np.bincount((keys[new] & _MASK).astype(np.int64), minlength=TERMS)
+        yield from _sliced(df)
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(unpack(x).astype(np.int64) for x in table["df"].to_pylist())
-        return pa.table({"slice": table["slice"][:1], "df": pa.array([pack(total)], pa.binary())})
-
-    n, df = 0, np.zeros(TERMS, np.int64)
-    for r in docs.select("text").mapInArrow(run, "slice int, df binary").groupBy("slice").applyInArrow(add, "slice int, df binary").collect():
-        if r.slice < 0:
-            n = int(unpack(bytes(r.df))[0])
-        else:
-            df[r.slice * width : (r.slice + 1) * width] = unpack(bytes(r.df))
-    return n, df
+    return docs.count(), _whole(_added(docs.select("text").mapInArrow(run, _SUMS), _SUMS, 1, "int64"), 1, "int64")[:, 0]
 
 
 def term_weights(n: int, df: np.ndarray) -> np.ndarray:
@@ -120,171 +145,155 @@ def _share(part: float, n: int) -> int:
     return k if k >= part * n else k + 1
 
 
-def least_product(item: Item, words: np.ndarray, weights: np.ndarray) -> float:
-    """The least product with the unit passage of a text that holds what the rule asks of the passage.
+def signs(sketch: int = SKETCH) -> np.ndarray:
+    """Omega: random signs for each term, the same in every task."""
+    words = -(-sketch // 64)
+    seed = np.arange(TERMS * words, dtype=np.uint64) + np.uint64(0x51ED270B)
+    bits = np.unpackbits(mix(mix(seed)).view(np.uint8).reshape(TERMS, 8 * words), axis=1)[:, :sketch]
+    return (bits.astype(np.int8) * 2 - 1).astype(np.int8)
 
-    A word adds its weight times the passage's. Of an item of one passage, the
-    answer's words are there or else COVER of all words; the rest may be the lightest.
-    """
-    buckets = (words & _MASK).astype(np.int64)
-    terms, row = _row(words, weights)
-    each = weights[buckets] * row[np.searchsorted(terms, buckets)]
-    n = len(words)
-    lightest = lambda x, k: float(np.sort(x)[: max(k, 0)].sum())
-    if n < len(item.words):
-        return lightest(each, _share(REWORDED, n))
-    tail = item.answer
-    reworded = float(each[n - tail :].sum()) + lightest(each[: n - tail], _share(REWORDED, n) - tail)
-    return min(lightest(each, _share(COVER, n)), reworded)
-
-
-def _row(words: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms and weights of a passage, of unit length, so that a passage of light words has its direction too."""
-    terms, tf = np.unique((words & _MASK).astype(np.int64), return_counts=True)
-    w = tf * weights[terms]
-    return terms, w / np.linalg.norm(w)
-
-
-def _start(terms: np.ndarray, rank: int) -> np.ndarray:
-    """The random start's rows, made from the term numbers so that every task has the same."""
-    key = terms.astype(np.uint64)[:, None] * np.uint64(rank) + np.arange(rank, dtype=np.uint64)[None]
-    u = (mix(key + np.uint64(0x51ED270B)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
-    v = (mix(key + np.uint64(0xB492B66F)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
-    return np.sqrt(-2 * np.log(u + 1e-300)) * np.cos(2 * np.pi * v)
-
-
-def latent_space(passages: DataFrame, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
-    """Randomised SVD of rows (terms array<long>, weights array<double>): term numbers and their latent vectors.
-
-    Z = A'(A Omega), summed over partitions by term; its Gram matrix gives an
-    orthonormal base Q, and the Gram matrix of A Q the singular directions in it.
-    """
 
-    def rows(batch):
-        return zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-
-    def project(batches):
-        schema = pa.schema([("term", pa.int64()), ("z", pa.binary())])
-        total: dict[int, np.ndarray] = {}
-        for batch in bounded(batches):
-            for terms, w in rows(batch):
-                t, w = np.array(terms), np.array(w)
-                y = w @ _start(t, rank)
-                for term, x in zip(terms, w, strict=True):
-                    total[term] = total.get(term, 0) + x * y
-        yield pa.RecordBatch.from_pylist([{"term": k, "z": v.tobytes()} for k, v in total.items()], schema)
-
-    def add(table: pa.Table) -> pa.Table:
-        z = sum(np.frombuffer(x) for x in table["z"].to_pylist())
-        return pa.table({"term": table["term"][:1], "z": pa.array([z.tobytes()], pa.binary())})
-
-    got = passages.mapInArrow(project, "term long, z binary").groupBy("term").applyInArrow(add, "term long, z binary").collect()
-    got.sort(key=lambda r: r.term)
-    terms = np.array([r.term for r in got], np.int64)
-    z = np.array([np.frombuffer(r.z) for r in got]).reshape(len(got), rank)
-    value, vec = np.linalg.eigh(z.T @ z)
-    keep = value > max(value[-1], 0) * 1e-13
-    q = z @ (vec[:, keep] / np.sqrt(value[keep]))
-
-    def gram(batches):
-        g = np.zeros((q.shape[1], q.shape[1]))
-        for batch in bounded(batches):
-            for t, w in rows(batch):
-                x = np.array(w) @ q[np.searchsorted(terms, t)]
-                g += np.outer(x, x)
-        yield pa.RecordBatch.from_pydict({"g": pa.array([g.tobytes()], pa.binary())})
-
-    parts = passages.mapInArrow(gram, "g binary").collect()  # rank x rank for each partition of a round
-    value, vec = np.linalg.eigh(sum(np.frombuffer(r.g).reshape(q.shape[1], -1) for r in parts))
-    keep = value > max(value[-1], 0) * 1e-9
-    return terms, (q @ vec[:, keep][:, ::-1]).astype(np.float32)
+def _passage_sums(z: np.ndarray, omega: np.ndarray, terms: np.ndarray, passage: np.ndarray, weights: np.ndarray) -> int:
+    """Add x (x' Omega) for each passage row x of unit length to z, and x itself to z's last column; returns passages."""
+    key, tf = np.unique(passage * TERMS + terms, return_counts=True)
+    t, p = key % TERMS, key // TERMS
+    first = np.flatnonzero(np.diff(p, prepend=-1))
+    p = np.cumsum(np.diff(p, prepend=-1) != 0) - 1
+    x = tf * weights[t]
+    x = (x / np.sqrt(np.add.reduceat(x * x, first))[p]).astype(np.float32)
+    y = np.add.reduceat(omega[t] * x[:, None], first)
+    order = np.argsort(t, kind="stable")
+    t, x, p = t[order], x[order], p[order]
+    at = np.flatnonzero(np.diff(t, prepend=-1))
+    z[t[at], :-1] += np.add.reduceat(y[p] * x[:, None], at)
+    z[t[at], -1] += np.add.reduceat(x, at)
+    return len(first)
 
 
-class Round:
-    """What a task needs of one round of passages."""
+def latent_space(docs: DataFrame, weights: np.ndarray, sketch: int = SKETCH, rank: int = RANK) -> np.ndarray:
+    """What each occurrence of a term adds to a latent vector (TERMS x rank), from the passages of all documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
 
-    def __init__(self, items: list[Item], weights: np.ndarray, terms: np.ndarray, latent: np.ndarray):
-        self.items, self.weights = items, weights
-        self.place = np.zeros(TERMS, np.int32)
-        self.place[terms] = np.arange(1, len(terms) + 1)
+    def run(batches):
+        omega, w = signs(sketch), shared.value
+        z, n = np.zeros((TERMS, sketch + 1), np.float32), 0
+        for batch in bounded(batches):
+            for words in word_chunks(batch.column(0), True):
+                row = np.repeat(np.arange(len(words.counts)), words.counts)
+                before = np.concatenate([[0], np.cumsum(-(-words.counts // PASSAGE))])
+                passage = before[row] + (np.arange(len(row)) - words.first[row]) // PASSAGE
+                terms = (words.hashes & _MASK).astype(np.int64)
+                at = 0
+                while at < len(terms):  # whole passages
+                    stop = min(len(terms), at + _CHUNK_WORDS)
+                    if stop < len(terms):
+                        stop = int(np.searchsorted(passage, passage[stop]))
+                    n += _passage_sums(z, omega, terms[at:stop], passage[at:stop], w)
+                    at = stop
+        yield from _sliced(z)
+
+    z = _whole(_added(docs.select("text").mapInArrow(run, _SUMS), _SUMS, sketch + 1, "float32"), sketch + 1, "float32")
+    return directions(z[:, :-1], z[:, -1], signs(sketch), weights, rank)
+
+
+def directions(z: np.ndarray, total: np.ndarray, omega: np.ndarray, weights: np.ndarray, rank: int) -> np.ndarray:
+    """Latent vectors of single occurrences, from Z = A'A Omega and the sum of A's rows."""
+    used = np.flatnonzero(z.any(1))
+    out = np.zeros((TERMS, rank), np.float32)
+    if not len(used):
+        return out
+    y, o = z[used].astype(np.float64), omega[used].astype(np.float64)
+    core = o.T @ y
+    value, vec = np.linalg.eigh((core + core.T) / 2)
+    keep = value > max(value[-1], 0) * 1e-5  # what single precision can tell from nothing
+    root = y @ (vec[:, keep] / np.sqrt(value[keep]))  # A'A is about root root'
+    value, vec = np.linalg.eigh(root.T @ root)
+    keep = np.flatnonzero(value > max(value[-1], 0) * 1e-5)[::-1][:rank]
+    base = root @ (vec[:, keep] / np.sqrt(value[keep]))  # orthonormal directions, value: their sums of squares
+    latent = base / np.sqrt(value[keep])
+    mean = total[used].astype(np.float64) @ latent  # sums over passages of unit length; only its direction counts
+    size = np.linalg.norm(mean)
+    latent *= weights[used][:, None]
+    if size > 0:  # what all passages share is no likeness
+        latent -= np.outer(latent @ mean, mean) / size**2
+    out[used, : latent.shape[1]] = latent
+    return out
+
+
+class Search:
+    """What a task needs of a group of items."""
+
+    def __init__(self, items: list[Item], latent: np.ndarray):
+        self.items = items
+        known = np.unique(np.concatenate([i.words for i in items])) if items else np.zeros(0, np.uint64)
+        self.known = known
         passages = sorted(((i, start, words) for i, item in enumerate(items) for start, words in item.passages()), key=lambda x: len(x[2]))
-        latent = np.vstack([np.zeros((1, latent.shape[1]), np.float32), latent])
         self.owner, self.offset = [i for i, _, _ in passages], [start for _, start, _ in passages]
-        vectors, self.least, sizes = [], [], []
-        self.inside = np.zeros((len(latent), len(passages)), bool)
-        for k, (i, _, words) in enumerate(passages):
-            t, w = _row(words, weights)
-            vectors.append(w @ latent[self.place[t]])
-            self.least.append(least_product(items[i], words, weights) * (1 - SLACK))
-            sizes.append(-(-(STRETCH * len(words) + HOP - 1) // HOP))
-            self.inside[self.place[t], k] = True
-        self.least = np.array(self.least)
-        self.need = np.array([_share(REWORDED, len(words)) for _, _, words in passages])
+        vectors = np.array([latent[(words & _MASK).astype(np.int64)].sum(0) for _, _, words in passages], np.float32).reshape(len(passages), -1)
+        self.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+        sizes = [-(-len(words) // HOP) + 1 for _, _, words in passages]
         self.groups = [(size, slice(sizes.index(size), sizes.index(size) + sizes.count(size))) for size in sorted(set(sizes))]
-        self.widest = max([*SIZES, *sizes])
-        # what an occurrence of a term adds to the product with each passage
-        self.toward = (latent @ np.array(vectors, np.float32).T) * np.concatenate([[0], weights[terms]]).astype(np.float32)[:, None]
-        self.bits = []
-        for item in items:
-            masks: dict[int, int] = {}
-            for i, h in enumerate(item.words.tolist()):
-                masks[h] = masks.get(h, 0) | 1 << i
-            self.bits.append(masks)
+        self.widest = max(sizes, default=1)
+        self.need = np.array([_share(REWORDED, len(words)) for _, _, words in passages])
+        # each word of each passage, by passage and the word's number among all
+        self.keys = np.unique(np.concatenate([[0], *[k * len(known) + np.searchsorted(known, words) for k, (_, _, words) in enumerate(passages)]]).astype(np.int64))
+        self._bits: dict[int, dict[int, int]] = {}
 
-    def candidates(self, words):
+    def candidates(self, words, latent: np.ndarray):
         """(row, first word, end word, passage, cosine), in runs of bounded size."""
-        bucket = (words.hashes & _MASK).astype(np.int64)
-        place = self.place[bucket]
-        square = np.concatenate([[0.0], np.cumsum(self.weights[bucket].astype(np.float64) ** 2)])
         hops = -(-words.counts // HOP)
         row = np.repeat(np.arange(len(hops)), hops)
         last = np.cumsum(hops)  # the end of each row's hops
         begin = np.append(words.first[row] + (np.arange(len(row)) - (last - hops)[row]) * HOP, words.first[-1])
+        place = np.minimum(np.searchsorted(self.known, words.hashes), max(len(self.known) - 1, 0))
+        known = self.known[place] == words.hashes if len(self.known) else np.zeros(len(place), bool)
+        count = np.concatenate([[0], np.cumsum(known)])
         for at in range(0, len(row), RUN):
             here = np.arange(at, min(at + RUN, len(row)))
             stop = min(at + RUN + self.widest, len(row))
-            ours = np.flatnonzero(place[begin[at] : begin[stop]]) + begin[at]
-            if not len(ours):
-                continue
-            hop = np.searchsorted(begin[at : stop + 1], ours, "right") - 1
-            new = np.flatnonzero(np.diff(hop, prepend=-1))
-            total = np.zeros((stop - at + 1, len(self.owner)))
-            total[hop[new] + 1] = np.add.reduceat(self.toward[place[ours]], new)
-            np.cumsum(total, axis=0, out=total)
-            found = []
-            for size in SIZES:
-                end = np.minimum(here + size, last[row[here]])
-                # words that occur more than once make the norm longer than this
-                bound = (NEAR * (1 - SLACK)) * np.sqrt(square[begin[end]] - square[begin[here]])
-                i, j = np.nonzero(total[end - at] - total[here - at] >= bound[:, None])
-                found.append(np.stack([here[i], end[i], j, np.zeros_like(i)], 1))
+            span = slice(begin[at], begin[stop])
+            each = np.add.reduceat(latent[(words.hashes[span] & _MASK).astype(np.int64)], begin[at:stop] - begin[at])
+            total = np.zeros((stop - at + 1, each.shape[1]))
+            np.cumsum(each, axis=0, out=total[1:])
             for size, which in self.groups:
                 end = np.minimum(here + size, last[row[here]])
-                i, j = np.nonzero(total[end - at, which] - total[here - at, which] >= self.least[which])
-                found.append(np.stack([here[i], end[i], j + which.start, np.ones_like(i)], 1))
-            found = np.concatenate(found)
-            for k in range(0, len(found), RUN):
-                yield from self._confirmed(found[k : k + RUN], words, bucket, place, row, begin, total, at)
-
-    def _confirmed(self, found, words, bucket, place, row, begin, total, at):
-        """Of windows by hops those whose cosine, or number of the passage's words, is enough."""
-        first, end = begin[found[:, 0]], np.minimum(begin[found[:, 1]], words.first[row[found[:, 0]] + 1])
-        n = end - first
-        if not len(found):
-            return
+                # no window with fewer words of any item can be accepted, nor can those around it
+                wide = np.minimum(here + 2 * size, last[row[here]])
+                low = np.maximum(here - size, (last - hops)[row[here]])
+                some = np.flatnonzero(count[np.minimum(begin[wide], words.first[row[here] + 1])] - count[begin[low]] >= self.need[which].min())
+                if not len(some):
+                    continue
+                v = (total[end[some] - at] - total[here[some] - at]).astype(np.float32)
+                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+                cos = v @ self.vectors[which].T
+                i, j = np.nonzero(cos >= NEAR)
+                for k in range(0, len(i), RUN):
+                    yield from self._enough(some[i[k : k + RUN]], j[k : k + RUN] + which.start, cos[i[k : k + RUN], j[k : k + RUN]], words, place, known, row[here], begin, low, wide, here, end)
+
+    def _enough(self, k, passage, cos, words, place, known, row, begin, low, wide, here, end):
+        """Of candidates those around which there are enough of the passage's words."""
+        first, stop = begin[low[k]], np.minimum(begin[wide[k]], words.first[row[k] + 1])
+        n = stop - first
         starts = np.concatenate([[0], np.cumsum(n)[:-1]])
         index = np.repeat(first - starts, n) + np.arange(n.sum())
-        same = np.add.reduceat(self.inside[place[index], np.repeat(found[:, 2], n)].astype(np.int64), starts)
-        u, tf = np.unique(np.repeat(np.arange(len(found)), n) * TERMS + bucket[index], return_counts=True)
-        norm = np.sqrt(np.bincount(u // TERMS, (tf * self.weights[u % TERMS]) ** 2, len(found)))
-        cos = (total[found[:, 1] - at, found[:, 2]] - total[found[:, 0] - at, found[:, 2]]) / np.maximum(norm, 1e-9)
-        good = np.where(found[:, 3] == 1, same >= self.need[found[:, 2]], cos >= NEAR)
-        for k in np.flatnonzero(good).tolist():
-            yield int(row[found[k, 0]]), int(first[k]), int(end[k]), int(found[k, 2]), float(cos[k])
+        key = np.repeat(passage * len(self.known), n) + place[index]
+        found = known[index] & (self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] == key)
+        same = np.add.reduceat(found.astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
+        for m in np.flatnonzero(same >= self.need[passage]).tolist():
+            w = k[m]
+            yield int(row[w]), int(begin[here[w]]), int(min(begin[end[w]], words.first[row[w] + 1])), int(passage[m]), float(cos[m])
+
+    def bits(self, item: int) -> dict[int, int]:
+        if item not in self._bits:
+            masks: dict[int, int] = {}
+            for i, h in enumerate(self.items[item].words.tolist()):
+                masks[h] = masks.get(h, 0) | 1 << i
+            self._bits[item] = masks
+        return self._bits[item]
 
     def check(self, item: int, hashes: np.ndarray) -> tuple[int, bool, list[int]]:
         """Common subsequence length, whether the answer is there in order, and the places of words of the item."""
-        bits, n = self.bits[item], len(self.items[item].words)
+        bits, n = self.bits(item), len(self.items[item].words)
         masks = [(i, m) for i, h in enumerate(hashes.tolist()) if (m := bits.get(h))]
         full = (1 << n) - 1
         v = full
@@ -299,21 +308,25 @@ class Round:
         return n - v.bit_count(), k == tail, [i for i, _ in masks]
 
 
-def _search(shared):
+def _search(search, latent):
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("common", pa.int64()), ("item_words", pa.int64()), ("cosine", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())])
 
     def run(batches):
-        r: Round = shared.value
+        r: Search = search.value
         for batch in bounded(batches):
             out = {}
             for words in word_chunks(batch.column(1), True):
-                for row, first, end, passage, cos in r.candidates(words):
+                tried = set()
+                for row, first, end, passage, cos in r.candidates(words, latent.value):
                     item = r.owner[passage]
                     if (row + words.row0, item) in out:
                         continue
                     n = len(r.items[item].words)
                     lo = max(int(words.first[row]), first - r.offset[passage] - n)
                     hi = min(int(words.first[row + 1]), end + n)
+                    if (item, lo, hi) in tried:
+                        continue
+                    tried.add((item, lo, hi))
                     common, answer, at = r.check(item, words.hashes[lo:hi])
                     if common >= COVER * n or (common >= REWORDED * n and answer):
                         base = lo - int(words.first[row])
@@ -327,8 +340,8 @@ def _search(shared):
 _FOUND = "doc_id long, item_id long, common long, item_words long, cosine double, first_word long, end_word long"
 
 
-def _rounds(benchmark: DataFrame):
-    """Items with their word hashes, in rounds of at most ROUND passages; one round at a time is on the driver."""
+def _groups(benchmark: DataFrame, group: int):
+    """Items with their word hashes, in groups of at most so many passages; one group at a time is on the driver."""
 
     def run(batches):
         for batch in bounded(batches):
@@ -343,7 +356,7 @@ def _rounds(benchmark: DataFrame):
     for r in hashed.toLocalIterator():
         item = Item(r.item_id, np.frombuffer(bytes(r.words), np.uint64))
         more = len(item.passages())
-        if items and n + more > ROUND:
+        if items and n + more > group:
             yield items
             items, n = [], 0
         items.append(item)
@@ -352,21 +365,21 @@ def _rounds(benchmark: DataFrame):
         yield items
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, group: int = GROUP) -> DataFrame:
     """(doc_id, text) and (item_id, text) to a row for each document and item that it holds.
 
     Columns: doc_id, item_id, common (words of the longest common subsequence),
-    item_words, cosine, and the place in the document's words.
+    item_words, cosine in the latent space, and the place in the document's words.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    weights = term_weights(*document_frequencies(docs))
-    found = None
-    for items in _rounds(benchmark):
-        rows = [[x.tolist() for x in _row(words, weights)] for item in items for _, words in item.passages()]
-        terms, latent = latent_space(spark.createDataFrame(rows, "terms array<long>, weights array<double>"), max(RANK, len(rows) * RANK // ROUND))
-        shared = spark.sparkContext.broadcast(Round(items, weights, terms, latent))
-        more = docs.mapInArrow(_search(shared), _FOUND)
+    latent, found = None, None
+    for items in _groups(benchmark, group):
+        if latent is None:
+            vectors = latent_space(docs, term_weights(*document_frequencies(docs)))
+            latent = spark.sparkContext.broadcast(vectors)  # TERMS x RANK whatever the input
+        search = spark.sparkContext.broadcast(Search(items, vectors))
+        more = docs.mapInArrow(_search(search, latent), _FOUND)
         found = more if found is None else found.unionByName(more)
     return spark.createDataFrame([], _FOUND) if found is None else found.distinct()
 
