@@ -1,4 +1,5 @@
 import collections
+import math
 import time
 
 import numpy as np
@@ -15,7 +16,7 @@ def test_neighbours(spark):
     rows += [(1000, None, 0), (1001, [], 0), (1002, [0.0] * 8, 0), (1003, [1.0, None] + [0.0] * 6, 0), (1004, [float("nan")] * 8, 0), (1005, [1.0] * 3, 0), (None, [1.0] * 8, 0), (1006, [float("inf")] * 8, 0), (7, x[7].tolist(), 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, leaf int")
     got = {}
-    for r in ann.neighbours(df, ann.F.col("vec_id") % 50 == 0).collect():
+    for r in ann.neighbours(df, ann.F.col("vec_id") % 50 == 0, scale=math.inf).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     assert sorted(got) == list(range(0, 400, 50))
     for q, found in got.items():
@@ -34,7 +35,7 @@ def test_recall_and_large_leaves(spark, monkeypatch):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     monkeypatch.setattr(ann, "CELL", 100)
     monkeypatch.setattr(ann, "ASKED", 4)
-    rows = ann.neighbours(df, ann.F.col("vec_id") % 100 == 0, sample=512, leaf=64, search=0).collect()
+    rows = ann.neighbours(df, ann.F.col("vec_id") % 100 == 0, sample=512, leaf=64).collect()
     hits = 0
     for q in range(0, 1500, 100):
         d = ((x - x[q]) ** 2).sum(1)
@@ -42,6 +43,34 @@ def test_recall_and_large_leaves(spark, monkeypatch):
     assert hits >= 0.9 * 150
 
 
+def test_an_id_with_several_vectors(spark):
+    rows = [(1, [0.0, 1.0]), (1, [5.0, 5.0]), (2, [0.0, 2.0]), (3, [5.0, 7.0]), (100, [0.0, 1.5]), (100, [5.0, 6.0])]
+    got = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), ann.F.col("vec_id") == 100).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(1, 1, 0.5), (2, 2, 0.5), (3, 3, 1.0)]
+
+
+def test_recall_and_visited_share_on_the_test_tables(spark):
+    """Recall against brute force is 0.9 and more, and the share of the table that a query meets falls as tables grow."""
+    shares = []
+    for sf in ("0.01", "0.1"):
+        df = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet")
+        x = {r.vec_id: np.array(r.embedding, float) for r in df.collect()}
+        ids = np.array(sorted(x))
+        y = np.stack([x[i] for i in ids])
+        hits = total = 0
+        found = collections.defaultdict(set)
+        for r in ann.neighbours(df, ann.F.col("vec_id") % 100 == 0).collect():
+            found[r.query_id].add(r.vec_id)
+        for q in found:
+            d = ann.distances(x[q], y)
+            best = [i for i in ids[np.lexsort((ids, d))] if i != q][:10]
+            hits += len(found[q] & set(best))
+            total += 10
+        assert hits >= 0.9 * total
+        shares.append(ann.SCALE * len(ids) ** ann.POWER / len(ids))
+    assert shares[1] < shares[0]
+
+
 PAGE = '<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="ad">Buy</div><article><h1>A &amp; B&lt;</h1><p><b>One  two\n three<br><p>Four&nbsp;five<p class="note">six</article><div class="comments"><p>first!</p></div><footer>&copy; x</footer></body></html>'
 
 

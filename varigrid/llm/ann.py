@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by a forest of random-projection trees (operator 2).
 
-Trees are fitted on a bounded sample (``SAMPLE`` distinct vectors, those with the
-smallest hashes): each inner node splits by the sign of a projection on the
+Trees are fitted on a bounded sample of distinct vectors, those with the smallest
+hashes: one in ``SAMPLE_SHARE`` of the table, from ``SAMPLE`` to ``SAMPLE_MOST``, so that
+trees have more leaves where the table has more rows. Each inner node splits by the sign of a projection on the
 difference of two random sample points, at the median, until ``LEAF`` points are
 left. Every distinct vector of the table is then dealt to one leaf of each tree.
 
@@ -9,28 +10,31 @@ A query walks all trees at once through one shared priority queue: it holds the
 roots first, the entry with the largest margin so far is taken, its near side is
 entered and its far side is queued with the smaller of the margin so far and the
 distance to the plane. Leaves are taken until, over all trees, they hold
-``SHARE`` times as many entries as there are vectors (``SEARCH`` at least); leaf sizes are counted over
-the whole index. In each leaf the vectors are ranked by exact distance in double
-precision, and each query keeps its ``k + 1`` nearest there; the lists of its
-leaves are merged. As a vector is in one leaf of each tree, a query meets well
-under SHARE of the table.
-
-The share is high because it has to be: where distances in 64 dimensions hardly
+SCALE * n ** POWER entries, n being the number of vectors; leaf sizes are counted
+over the whole index. In each leaf the vectors are ranked by exact distance in
+double precision, and each query keeps its ``k + 1`` nearest there; the lists of its
+leaves are merged. A vector is in one leaf of each tree, so a query meets fewer
+vectors than entries, and a share of the table that falls as the table grows.
+``scale=math.inf`` searches every leaf and is exact.
+
+SCALE is high because it has to be: where distances in 64 dimensions hardly
 differ, as in the test tables, fewer leaves don't reach a recall of 0.9.
 
 Equal vectors are one entry with their ``k + 1`` smallest ids, which are all that
 a list of k can need, and equal queries are searched once. So no group of copies
 is ever joined with itself.
 
-The forest and its leaf counts are broadcast: at most 2 * TREES * SAMPLE numbers
-and planes whatever the table. Leaves grow with the table: one with more than
+The forest and its leaf counts are broadcast: planes for SAMPLE_MOST / LEAF leaves a
+tree at most, whatever the table. Beyond SAMPLE_MOST * SAMPLE_SHARE rows leaves grow with the table: one with more than
 ``CELL`` entries, or that more than ``ASKED`` queries visit, is dealt into parts,
 and each part of entries meets each part of queries in a task of its own.
 
 Defined cases: vectors that are null, empty, all zero, or hold a null, NaN or
 infinite component take no part, neither do rows without vec_id or of another
 length than most (ties: the longer). Fewer candidates than k give shorter lists.
-Repeated ids with the same vector count once. Other columns are ignored.
+Repeated ids with the same vector count once; an id with several vectors is a
+row with each of them: lists of its vectors are merged, and each vec_id has its
+least distance. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,12 +51,14 @@ from varigrid.llm.blocks import bounded, first_by_hash, hash_place, stored
 TREES = 8
 LEAF = 64
 SAMPLE = 4096
-SEARCH = 8000
-SHARE = 1.0
+SAMPLE_MOST = 1 << 16
+SAMPLE_SHARE = 8
+SCALE = 3.4
+POWER = 0.85
 K = 10
 QUERY_MOD = 100
 CELL = 20_000
-ASKED = 2_000
+ASKED = 10_000
 _SALTS = 64
 
 
@@ -147,10 +153,10 @@ def plant(points: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int =
 def _deal(shared):
     def run(batches):
         for batch in bounded(batches):
-            keys = np.asarray(batch.column(0))
-            x = np.asarray(batch.column(1).flatten()).reshape(len(keys), -1)
+            n = batch.num_rows
+            x = np.asarray(batch.column(2).flatten()).reshape(n, -1)
             for t, tree in enumerate(shared.value):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), t, np.int32)), pa.array(tree.leaf_of(x).astype(np.int32)), batch.column(0), batch.column(1)], names=["tree", "leaf", "key", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(tree.leaf_of(x).astype(np.int32)), *batch.columns], names=["tree", "leaf", "entry", "key", "v"])
 
     return run
 
@@ -175,30 +181,31 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _rank(k: int):
-    schema = pa.schema([("query", pa.int64()), ("key", pa.int64()), ("score", pa.float64())])
+    schema = pa.schema([("query", pa.int64()), ("entry", pa.int64()), ("key", pa.int64()), ("score", pa.float64())])
 
     def run(entries: pa.Table, asked: pa.Table) -> pa.Table:
         if not len(entries) or not len(asked):
             return pa.Table.from_pylist([], schema)
         flat = lambda c: np.asarray(c.combine_chunks().flatten())
-        keys = np.asarray(entries["key"])
+        keys, number = np.asarray(entries["key"]), np.asarray(entries["entry"])
         y = flat(entries["v"]).reshape(len(keys), -1)
         queries = np.asarray(asked["query"])
-        q, near, score = [], [], []
+        q, near, first, score = [], [], [], []
         for one, x in zip(queries, flat(asked["x"]).reshape(len(queries), -1), strict=True):
             d = distances(x, y)
             some = np.flatnonzero(d <= np.partition(d, k)[k]) if len(d) > k + 1 else np.arange(len(d))
             some = some[np.lexsort((keys[some], d[some]))][: k + 1]
             q.append(np.full(len(some), one))
-            near.append(keys[some])
+            near.append(number[some])
+            first.append(keys[some])
             score.append(d[some])
-        return pa.table([np.concatenate(q), np.concatenate(near), np.concatenate(score)], schema=schema)
+        return pa.table([np.concatenate(q), np.concatenate(near), np.concatenate(first), np.concatenate(score)], schema=schema)
 
     return run
 
 
 def _counts(df: DataFrame) -> dict[tuple[int, int], int]:
-    """Rows of each leaf; there are at most TREES * SAMPLE leaves."""
+    """Rows of each leaf; there are at most TREES * SAMPLE_MOST leaves."""
     return {(r.tree, r.leaf): r["count"] for r in df.groupBy("tree", "leaf").count().collect()}
 
 
@@ -207,35 +214,38 @@ def _parts(spark, sizes: dict, asked: dict) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows or [(-1, -1, 1, 1)], "tree int, leaf int, cells int, blocks int"))
 
 
-def neighbours(vectors: DataFrame, queries, k: int = K, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, search: int = SEARCH, share: float = SHARE) -> DataFrame:
+def neighbours(vectors: DataFrame, queries, k: int = K, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, scale: float = SCALE, power: float = POWER) -> DataFrame:
     """(vec_id, embedding) to (query_id, rank, vec_id, score): the k nearest found of each row for which ``queries``, a column, holds."""
     spark = vectors.sparkSession
     rows = usable(vectors)
-    index = stored(distinct_vectors(rows, k), "vectors")
+    index = stored(distinct_vectors(rows, k).withColumn("entry", F.monotonically_increasing_id()), "vectors")  # key, the least id, orders ties
     place = hash_place(F.xxhash64("key"))
-    some = index.filter(first_by_hash(place, index.count(), sample)).select("v", "key", place.alias("place")).collect()
+    n = index.count()
+    sample = max(sample, min(SAMPLE_MOST, n // SAMPLE_SHARE))
+    some = index.filter(first_by_hash(place, n, sample)).select("v", "key", place.alias("place")).collect()
     points = np.array([r.v for r in sorted(some, key=lambda r: (r.place, r.key))[:sample]])
     forest = plant(points.reshape(len(points), -1), trees, leaf) if len(points) else []
     shared = spark.sparkContext.broadcast(forest)
-    dealt = stored(index.select("key", "v").mapInArrow(_deal(shared), "tree int, leaf int, key long, v array<double>"), "leaves")
+    dealt = stored(index.select("entry", "key", "v").mapInArrow(_deal(shared), "tree int, leaf int, entry long, key long, v array<double>"), "leaves")
     counted = _counts(dealt)
     sizes = spark.sparkContext.broadcast(counted)
-    want = max(search, share * sum(counted.values()) / max(trees, 1))
+    want = scale * n**power
     # A query's class is the index entry that has its vector; each class is searched once.
     asked = rows.filter(queries).select("vec_id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v")).distinct()
-    asked = stored(asked.join(index.select("v", "key"), "v").select(F.col("vec_id").alias("query_id"), F.col("key").alias("query"), "v"), "queries")
+    asked = stored(asked.join(index.select("v", "entry"), "v").select(F.col("vec_id").alias("query_id"), F.col("entry").alias("query"), "v"), "queries")
     heads = asked.groupBy("query").agg(F.first("v").alias("x"))
     probes = stored(heads.mapInArrow(_walk(shared, sizes, want), "query long, x array<double>, tree int, leaf int"), "probes")
     parts = _parts(spark, counted, _counts(probes))
-    left = dealt.join(parts, ["tree", "leaf"]).withColumn("cell", F.pmod(F.xxhash64("key"), F.col("cells"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = dealt.join(parts, ["tree", "leaf"]).withColumn("cell", F.pmod(F.xxhash64("entry"), F.col("cells"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     right = probes.join(parts, ["tree", "leaf"]).withColumn("block", F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int")).withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells").cast("long") - 1)))
     by = ["tree", "leaf", "cell", "block"]
-    found = left.select(*by, "key", "v").groupBy(*by).cogroup(right.select(*by, "query", "x").groupBy(*by)).applyInArrow(_rank(k), "query long, key long, score double").distinct()
+    found = left.select(*by, "entry", "key", "v").groupBy(*by).cogroup(right.select(*by, "query", "x").groupBy(*by)).applyInArrow(_rank(k), "query long, entry long, key long, score double").distinct()
     # The k + 1 nearest entries of each class of queries hold all that its lists need.
-    near = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("score", "key"))).filter(F.col("r") <= k + 1)
-    lists = near.join(index.select("key", "ids"), "key").select("query", "score", F.explode("ids").alias("vec_id"))
+    near = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("score", "key", "entry"))).filter(F.col("r") <= k + 1)
+    lists = near.join(index.select("entry", "ids"), "entry").select("query", "score", F.explode("ids").alias("vec_id"))
     top = lists.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))).filter(F.col("r") <= k + 1).select("query", "score", "vec_id")
-    out = asked.select("query_id", "query").join(top, "query").filter("vec_id <> query_id")
+    top = stored(top, "lists")  # read plainly, so that a class with most of the queries is split where they meet it
+    out = asked.select("query_id", "query").join(top, "query").filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).filter(F.col("rank") <= k)
     return out.select("query_id", "rank", "vec_id", "score")
 
