@@ -23,10 +23,16 @@ Words and longer contexts get numbers on the way, so that keys are exact. The
 numbers of what is shuffled grow with distinct pairs per block, never with how
 often one pair occurs. The driver sees only counts of counts.
 
+A frequent context has successors in every block. One that holds more training
+tokens than a shard's even share has its successors dealt over as many shards as
+it holds shares; the sums of such contexts, fewer than two for each shard, are
+added up over their shards before weights are made of them.
+
 Defined cases: null or empty text is the end token alone. A row without doc_id
 has the crc32 of an empty text, 0, and so is held out. Without any training
-tokens every token has base probability one over the one unknown word. Other
-columns are ignored.
+tokens every token has base probability one over the one unknown word. Repeated
+rows are each counted and scored. Very long texts are one block's. An empty table
+gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varigrid.llm.blocks import n_blocks, pack, pack_sorted, shard_of, slices, stored, unpack, unpack_sorted, with_block
-from varigrid.llm.textvec import crc32_text, word_chunks
+from varigrid.llm.textvec import crc32_text, mix, word_chunks
 
 ORDER = 2
 BLOCK_BYTES = 4 << 20
@@ -49,8 +55,9 @@ DISCOUNT_UP_TO = 5
 _END = np.uint64(0x5851F42D4C957F2D)
 _SHARD_BITS = np.uint64(40)
 _START = np.uint64((1 << 63) - 1)
-_STATS = "array<bigint>"
-_SHARD_SCHEMA = "shard int, stats array<bigint>, contexts binary, words binary, counts binary, sums binary, blocks array<int>, ranks array<binary>, context_ranks array<binary>"
+BROADCAST_BYTES = 16 << 20
+_SHARD_SCHEMA = "shard int, stats array<bigint>, contexts binary, words binary, counts binary, sums binary, blocks array<int>, ranks array<binary>, context_ranks array<binary>, split array<struct<context:bigint,sums:array<double>>>"
+_SPLIT_TYPE = pa.list_(pa.struct([("context", pa.int64()), ("sums", pa.list_(pa.float64()))]))
 _ANSWER_SCHEMA = "block int, level int, shard int, counts binary, ranks binary, alphas binary, totals binary"
 
 
@@ -132,41 +139,50 @@ def _cat(parts, kind=np.uint64) -> np.ndarray:
 class _Levels:
     """Replays the levels that have answers over a block's tokens."""
 
-    def __init__(self, texts: pa.Table, answers: pa.Table, uni: Unigrams):
+    def __init__(self, texts: pa.Table, answers: pa.Table, uni: Unigrams, shards: int):
         self.t = t = _Tokens(texts)
+        self.shards, self.tokens = shards, uni.tokens
         rows = _by_shard(answers, 1)
         self.count = _cat([unpack(r["counts"]) for r in rows])
         word_id = _cat([(np.uint64(r["shard"]) << _SHARD_BITS) + unpack_sorted(r["ranks"]) for r in rows])
         self.word_id = word_id[t.word]
         self.prob = uni.prob(self.count)[t.word]
         self.lower = self.count[t.word]  # of level 1 the counts travel: they pack better than probabilities
-        self.id = self.word_id
+        self.id, self.seen = self.word_id, self.lower
+        self.begun = self.count[np.searchsorted(t.hashes, _END)]  # a text begins as often as one ends
         self.level = 1
 
     def pairs(self) -> None:
         """Number the (context, word) pairs of the next level in ascending order of their ids."""
         t = self.t
-        context = np.empty_like(self.id)
-        context[1:] = self.id[:-1]
-        context[t.begins] = _START
-        self.contexts, c = np.unique(context, return_inverse=True)
+        context, held = np.empty_like(self.id), np.empty_like(self.seen)
+        context[1:], held[1:] = self.id[:-1], self.seen[:-1]
+        context[t.begins], held[t.begins] = _START, self.begun
+        self.contexts, at, c = np.unique(context, return_index=True, return_inverse=True)
+        # shares of a shard that a context holds; its pairs are dealt over so many
+        self.parts = np.maximum(1, -(-held[at].astype(np.float64) * self.shards // max(self.tokens, 1))).astype(np.uint64)
         self.words, w = np.unique(self.word_id, return_inverse=True)
         keys, self.pair = np.unique((c.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64), return_inverse=True)
         self.pair_context = (keys >> np.uint64(32)).astype(np.int64)
         self.pair_word = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        home = np.minimum(self.contexts >> _SHARD_BITS, np.uint64(self.shards - 1))[self.pair_context]
+        part = (mix(self.words[self.pair_word]) >> np.uint64(32)) % self.parts[self.pair_context]
+        shard = (home + part) % np.uint64(self.shards)
+        self.order = np.argsort(shard, kind="stable")  # inside a shard by context and word
+        self.shard = shard[self.order]
         self.level += 1
 
-    def ask(self, shards: int) -> list[dict]:
+    def ask(self) -> list[dict]:
         first = np.zeros(len(self.pair_context), self.lower.dtype)
         first[self.pair] = self.lower
-        n = np.bincount(self.pair, self.t.train, len(first)).astype(np.uint64)
-        context, out = self.contexts[self.pair_context], []
-        shard = np.minimum(context >> _SHARD_BITS, np.uint64(shards - 1))
-        at = slices(shard, shards)
+        n = np.bincount(self.pair, self.t.train, len(first)).astype(np.uint64)[self.order]
+        which, word, first, out = self.pair_context[self.order], self.words[self.pair_word][self.order], first[self.order], []
+        context, split = self.contexts[which], self.parts[which] > 1
+        at = slices(self.shard, self.shards)
         for s in np.flatnonzero(np.diff(at)):
             p = slice(at[s], at[s + 1])
             low = pack(first[p]) if self.level == 2 else first[p].astype(np.float64).tobytes()
-            out.append({"shard": int(s), "contexts": pack_sorted(context[p]), "words": pack(self.words[self.pair_word[p]]), "counts": pack(n[p]), "lower": low})
+            out.append({"shard": int(s), "contexts": pack_sorted(context[p]), "words": pack(word[p]), "counts": pack(n[p]), "lower": low, "split": pack_sorted(np.unique(context[p][split[p]]))})
         return out
 
     def answered(self, answers: pa.Table) -> None:
@@ -175,15 +191,23 @@ class _Levels:
         alpha = _cat([np.frombuffer(r["alphas"]) for r in rows], float)
         total = _cat([np.frombuffer(r["totals"]) for r in rows], float)
         d = np.frombuffer(rows[0]["ranks"][:8 * (DISCOUNT_UP_TO + 1)])
-        seen = np.divide(discounted(c, d), total[self.pair_context], out=np.zeros(len(c)), where=c > 0)
-        self.prob = np.where(c[self.pair] > 0, seen[self.pair], alpha[self.pair_context][self.pair] * self.prob)
-        self.lower = self.prob
         ids = _cat([(np.uint64(r["shard"]) << _SHARD_BITS) + unpack_sorted(r["ranks"][8 * (DISCOUNT_UP_TO + 1):]) for r in rows])
-        self.id = ids[self.pair]
+        # answers are by shard, weights once for each context in it
+        which = self.pair_context[self.order]
+        new = np.ones(len(which), bool)
+        new[1:] = (which[1:] != which[:-1]) | (self.shard[1:] != self.shard[:-1])
+        weight = np.cumsum(new) - 1
+        back = np.empty(len(self.order), np.int64)
+        back[self.order] = np.arange(len(self.order))
+        c, alpha, total, ids = c[back], alpha[weight][back], total[weight][back], ids[back]
+        known = np.divide(discounted(c, d), total, out=np.zeros(len(c)), where=c > 0)
+        self.prob = np.where(c[self.pair] > 0, known[self.pair], alpha[self.pair] * self.prob)
+        self.lower = self.prob
+        self.id, self.seen = ids[self.pair], c[self.pair]
 
 
 _ASK1 = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
-_ASKN = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("contexts", pa.binary()), ("words", pa.binary()), ("counts", pa.binary()), ("lower", pa.binary())])
+_ASKN = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("contexts", pa.binary()), ("words", pa.binary()), ("counts", pa.binary()), ("lower", pa.binary()), ("split", pa.binary())])
 
 
 def _ask_words(shards: int):
@@ -198,17 +222,20 @@ def _ask_words(shards: int):
     return run
 
 
+_ASKED = "shard int, block int, contexts binary, words binary, counts binary, lower binary, split binary"
+
+
 def _ask_pairs(shards: int, level: int, uni: Unigrams):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(texts):
             return pa.Table.from_pylist([], _ASKN)
-        m = _Levels(texts, answers, uni)
+        m = _Levels(texts, answers, uni, shards)
         m.pairs()
         for _ in range(level - 2):
             m.answered(answers)
             m.pairs()
         block = texts["block"][0].as_py()
-        return pa.Table.from_pylist([x | {"block": block} for x in m.ask(shards)], _ASKN)
+        return pa.Table.from_pylist([x | {"block": block} for x in m.ask()], _ASKN)
 
     return run
 
@@ -218,8 +245,8 @@ def _counts_of_counts(c: np.ndarray) -> list[int]:
 
 
 def _shard_row(shard, stats, blocks, ranks, **more) -> pa.Table:
-    row = {"shard": shard, "stats": stats, "contexts": b"", "words": b"", "counts": b"", "sums": b"", "blocks": blocks, "ranks": ranks, "context_ranks": []} | more
-    return pa.Table.from_pylist([row], pa.schema([("shard", pa.int32()), ("stats", pa.list_(pa.int64())), *[(k, pa.binary()) for k in ("contexts", "words", "counts", "sums")], ("blocks", pa.list_(pa.int32())), ("ranks", pa.list_(pa.binary())), ("context_ranks", pa.list_(pa.binary()))]))
+    row = {"shard": shard, "stats": stats, "contexts": b"", "words": b"", "counts": b"", "sums": b"", "blocks": blocks, "ranks": ranks, "context_ranks": [], "split": []} | more
+    return pa.Table.from_pylist([row], pa.schema([("shard", pa.int32()), ("stats", pa.list_(pa.int64())), *[(k, pa.binary()) for k in ("contexts", "words", "counts", "sums")], ("blocks", pa.list_(pa.int32())), ("ranks", pa.list_(pa.binary())), ("context_ranks", pa.list_(pa.binary())), ("split", _SPLIT_TYPE)]))
 
 
 def _add_words(table: pa.Table) -> pa.Table:
@@ -255,8 +282,10 @@ def _add_pairs(level: int, uni: Unigrams):
         for r in ranks:
             g = group[r.astype(np.int64)]
             of_context.append(pack_sorted(g[np.flatnonzero(np.diff(g, prepend=-1))].astype(np.uint64)))
-        seen = c > 0
-        return _shard_row(table["shard"][0].as_py(), [int(c.sum()), int(seen.sum()), *_counts_of_counts(c)], table["block"].to_pylist(), [pack_sorted(r) for r in ranks], contexts=pack_sorted(context), words=pack(word), counts=pack(c), sums=_pack_sums(sums), context_ranks=of_context)
+        seen, of = c > 0, context[begins]
+        divided = np.unique(np.concatenate([unpack_sorted(x) for x in table["split"].to_pylist()]))
+        split = [{"context": int(of[k]), "sums": [float(x[k]) for x in sums]} for k in np.searchsorted(of, divided).tolist()]
+        return _shard_row(table["shard"][0].as_py(), [int(c.sum()), int(seen.sum()), *_counts_of_counts(c)], table["block"].to_pylist(), [pack_sorted(r) for r in ranks], contexts=pack_sorted(context), words=pack(word), counts=pack(c), sums=_pack_sums(sums), context_ranks=of_context, split=split)
 
     return run
 
@@ -299,10 +328,18 @@ def _answers(level: int, d: np.ndarray | None):
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {k: batch.column(k)[i].as_py() for k in ("shard", "counts", "sums", "blocks", "ranks", "context_ranks")}
+                row = {k: batch.column(k)[i].as_py() for k in ("shard", "counts", "sums", "blocks", "ranks", "context_ranks", *(["contexts", "whole"] if level > 1 else []))}
                 c, out = unpack(row["counts"]), []
                 if level > 1:
-                    total, low, *ones = _unpack_sums(row["sums"])
+                    sums = [x.copy() for x in _unpack_sums(row["sums"])]
+                    if row["whole"]:
+                        context = unpack_sorted(row["contexts"])
+                        of = context[np.flatnonzero(np.diff(context, prepend=context[0] - np.uint64(1)))]
+                        for x in row["whole"]:
+                            k = int(np.searchsorted(of, np.uint64(x["context"])))
+                            for s, v in zip(sums, x["sums"], strict=True):
+                                s[k] = v
+                    total, low, *ones = sums
                     alpha, divisor = weights(total, low, ones, d)
                 for j, block in enumerate(row["blocks"]):
                     rank = unpack_sorted(row["ranks"][j]).astype(np.int64)
@@ -315,12 +352,22 @@ def _answers(level: int, d: np.ndarray | None):
     return run
 
 
-def _score(order: int, uni: Unigrams):
+def _with_whole(table: DataFrame) -> DataFrame:
+    """A level's shards with the sums over all shards of those contexts that are dealt over several."""
+    parts = table.select("shard", F.explode("split").alias("x")).select("shard", "x.context", "x.sums")
+    n = DISCOUNT_UP_TO + 2
+    added = parts.groupBy("context").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(n)]).alias("sums"))
+    whole = stored(parts.select("shard", "context").join(added, "context").groupBy("shard").agg(F.collect_list(F.struct("context", "sums")).alias("whole")), "split")
+    held = whole.agg(F.sum(F.size("whole"))).first()[0] or 0
+    return table.join(F.broadcast(whole) if held * (8 * n + 32) <= BROADCAST_BYTES else whole, "shard", "left")
+
+
+def _score(order: int, uni: Unigrams, shards: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
         if not len(texts):
             return pa.Table.from_pylist([], schema)
-        m = _Levels(texts, answers, uni)
+        m = _Levels(texts, answers, uni, shards)
         for _ in range(order - 1):
             m.pairs()
             m.answered(answers)
@@ -356,10 +403,10 @@ def fit(blocks: DataFrame, shards: int, order: int = ORDER) -> Model:
     answers = tables[0].mapInArrow(_answers(1, None), _ANSWER_SCHEMA)
     discounts = [uni.d]
     for level in range(2, order + 1):
-        asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_ask_pairs(shards, level, uni), "shard int, block int, contexts binary, words binary, counts binary, lower binary")
+        asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_ask_pairs(shards, level, uni), _ASKED)
         tables.append(stored(asked.groupBy("shard").applyInArrow(_add_pairs(level, uni), _SHARD_SCHEMA), f"lm{level}"))
         discounts.append(katz_discounts([0, *_totals(tables[-1])[2:]]))
-        answers = answers.unionByName(tables[-1].mapInArrow(_answers(level, discounts[-1]), _ANSWER_SCHEMA))
+        answers = answers.unionByName(_with_whole(tables[-1]).mapInArrow(_answers(level, discounts[-1]), _ANSWER_SCHEMA))
     return Model(tables, uni, discounts, answers)
 
 
@@ -369,7 +416,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     n = n_blocks(docs, BLOCK_BYTES)
     blocks = with_block(docs, n)
     model = fit(blocks, n, order)
-    return blocks.groupBy("block").cogroup(model.answers.groupBy("block")).applyInArrow(_score(order, model.uni), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return blocks.groupBy("block").cogroup(model.answers.groupBy("block")).applyInArrow(_score(order, model.uni, n), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
