@@ -11,8 +11,10 @@ Method: count-min prefilter, then exact groups.
    is never below the number with that window. A partition's sketch is kept
    sparse, two rows of 2**32 cells; the sketches are added up cell range by cell
    range.
-2. The cells that at least two documents hit are folded into a bitmap of fixed
-   size, which is broadcast. Folding can only add windows, never lose one.
+2. The cells that at least two documents hit are folded into a bitmap, which is
+   broadcast. It has a bit for each eight bytes of text, from 2**FOLD_BITS to
+   2**FOLD_MOST bits. Folding can only add windows, never lose one; beyond the
+   largest bitmap more windows go on to step 3.
 3. Windows estimated repeated are grouped exactly, by 96 bits of hash: each block
    of documents sends each distinct window once with its smallest doc_id, each
    shard of windows answers each block with the smallest doc_id of all. A window
@@ -34,11 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varigrid.llm.blocks import n_blocks, pack, pack_sorted, shard_of, slices, stored, unpack, unpack_sorted, with_block
+from varigrid.llm.blocks import BLOCK_BYTES, n_blocks, pack, pack_sorted, shard_of, slices, stored, unpack, unpack_sorted, with_block
 from varigrid.llm.textvec import mix, run_hashes, string_buffers, word_chunks
 
 WINDOW = 50
-FOLD_BITS = 27
+FOLD_BITS = 24
+FOLD_MOST = 30
 FLUSH = 4_000_000
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SIGN = np.uint64(1 << 63)
@@ -127,9 +130,10 @@ def _merge(bits: int, fold: int):
 
 
 def repeat_filter(docs: DataFrame, window: int = WINDOW, fold_bits: int = FOLD_BITS) -> list[bytes]:
-    """The two folded bitmaps of cells that at least two documents hit; 2**fold_bits bits each whatever the input."""
-    bits = min(16, max(8, (n_blocks(docs) - 1).bit_length()))
-    fold = max(fold_bits, bits + 3)
+    """The two folded bitmaps of cells that at least two documents hit, of 2**fold_bits to 2**FOLD_MOST bits each."""
+    blocks = n_blocks(docs)
+    bits = min(16, max(8, (blocks - 1).bit_length()))
+    fold = max(fold_bits, bits + 3, min(FOLD_MOST, (blocks * BLOCK_BYTES // 8).bit_length()))
     parts = docs.select("text").mapInArrow(_sketch(window, bits), "sketch_row int, cell_range int, cells binary, counts binary").groupBy("sketch_row", "cell_range").applyInArrow(_merge(bits, fold), "sketch_row int, cell_range int, bitmap binary")
     size = 1 << (fold - bits - 3)
     maps = [bytearray(1 << (fold - 3)) for _ in range(2)]
