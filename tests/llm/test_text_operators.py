@@ -37,7 +37,7 @@ def test_words_are_cut_and_hashed_alike_wherever_they_stand():
     assert seen[5][1] == a != b
 
 
-def brute_components(rows):
+def brute_components(rows, percent=85):
     sets = []
     for i, t in rows:
         w = lower(t)
@@ -51,7 +51,7 @@ def brute_components(rows):
 
     for a, (i, s) in enumerate(sets):
         for j, t in sets[:a]:
-            if i is not None and j is not None and s and t and 100 * len(s & t) >= 85 * len(s | t):
+            if i is not None and j is not None and s and t and 100 * len(s & t) >= percent * len(s | t):
                 x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
     return [(i, len(s), None if i is None else find(i), True if i is None else find(i) == i) for i, s in sets]
@@ -164,6 +164,23 @@ def test_language_model(table, odd_rows):
         assert lm_scoring.is_normalised(np.array([*seen.values(), *[alpha * p1(w) for w in uni if w not in seen], alpha * unknown]))
 
 
+def test_a_frequent_context_is_dealt_over_shards(spark, monkeypatch):
+    """One word before half of all others: more shards than one hold its successors, and scores are those of brute force."""
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 2000)
+    r = random.Random(2)
+    rows = [(k, " ".join(f"the w{r.randrange(400)}" for _ in range(40))) for k in range(1, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    blocks = lm_scoring.with_block(docs, 12)
+    model = lm_scoring.fit(blocks, 12)
+    split = model.tables[1].select(F.size("split").alias("n"), F.expr("aggregate(split, 0D, (a, x) -> a + x.sums[0])").alias("c")).collect()
+    assert sum(s.n > 0 for s in split) >= 4
+    assert max(s.c for s in split) < 0.5 * sum(s.c for s in split)
+    want = {g[0]: g[6] for g in brute_bigrams(rows)[0]}
+    for order in (2,):
+        got = {g.doc_id: g.score for g in lm_scoring.lm_scores(docs, order).collect()}
+        assert got == pytest.approx(want, rel=1e-9)
+
+
 def test_language_model_of_higher_order_and_of_nothing(table):
     rng = np.random.default_rng(4)
     rows = [(k, " ".join(rng.choice(list("abcd"), 60))) for k in range(1, 9)]

@@ -1,7 +1,25 @@
 """The registered queries of this subpackage, and DuckDB SQL where SQL can express them."""
 
+from pyspark.sql import functions as F
+
 from varigrid.llm import ann, bpe, decontamination, html_extract, language_id, lm_scoring, minhash_dedup, secret_scan, substring_dedup, token_files
 
+
+def _held_out_rows(spark, sf_dir):
+    """What SQL can express of operator 3."""
+    return language_id.query(spark, sf_dir).select("doc_id", "held_out")
+
+
+def _base_spans(spark, sf_dir):
+    """What SQL can express of operator 8."""
+    return secret_scan.query(spark, sf_dir).drop("spans")
+
+
+def _base_scores(spark, sf_dir):
+    """What SQL can express of operator 10; sums of logarithms in any order agree to six decimals."""
+    return lm_scoring.query(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 6))
+
+
 QUERIES = {
     "op10_lm_scoring": lm_scoring.query,
     "op1_minhash_dedup": minhash_dedup.query,
@@ -13,8 +31,32 @@ QUERIES = {
     "op7_token_files": token_files.query,
     "op8_secret_scan": secret_scan.query,
     "op9_substring_dedup": substring_dedup.query,
+    "language_held_out": _held_out_rows,
+    "secret_base_spans": _base_spans,
+    "lm_base_scores": _base_scores,
 }
 
+_CRC = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], range(0, 8 * length(CAST(doc_id AS VARCHAR)))), lambda c, i: xor(xor(c, CASE WHEN i % 8 = 0 THEN ascii(CAST(doc_id AS VARCHAR)[CAST(i // 8 + 1 AS INTEGER)]) ELSE 0 END) >> 1, CASE WHEN xor(c, CASE WHEN i % 8 = 0 THEN ascii(CAST(doc_id AS VARCHAR)[CAST(i // 8 + 1 AS INTEGER)]) ELSE 0 END) & 1 = 1 THEN CAST(3988292384 AS BIGINT) ELSE CAST(0 AS BIGINT) END)), CAST(4294967295 AS BIGINT))"""
+
+_HELD_OUT = f"SELECT doc_id, {_CRC} % 4 = 2 AS held_out FROM documents"
+
+_EITHER_CASE = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word) for word in ("password", "passwd", "secret", "token", "api_?key"))
+_ASSIGN = f"(?:{_EITHER_CASE})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+_KINDS = (("assign", _ASSIGN), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+"))
+
+_SPANS = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+k AS ({" UNION ALL ".join(f"SELECT doc_id, '{kind}' AS kind, {i} AS o, regexp_extract_all(t, '{rx}') AS m, string_split_regex(t, '{rx}') AS p FROM d" for i, (kind, rx) in enumerate(_KINDS))}),
+x AS (SELECT doc_id, kind, o, m[i] AS v, CAST(list_sum(list_transform(p[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z))), 0) AS BIGINT) AS s FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM k)),
+f AS (SELECT doc_id, kind, o, s, s + length(v) AS e FROM x WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(v, '{_ASSIGN}', 1)) >= 6 WHEN 'access' THEN length(v) >= 20 ELSE length(v) >= 24 END)
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+ sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o), '')) AS base_sha256 FROM d LEFT JOIN f ON d.doc_id = f.doc_id GROUP BY d.doc_id"""
+
+_BASE_SCORES = f"""WITH d AS (SELECT doc_id, {_CRC} % 10 = 0 AS held_out, list_concat(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x09-\\x0D\\x20]+'), ['']) AS toks FROM documents),
+t AS (SELECT doc_id, held_out, unnest(toks) AS tok FROM d),
+c AS (SELECT tok, count(*) AS c FROM t WHERE NOT held_out GROUP BY tok),
+n AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c.tok) AS n_known, n.n AS train_tokens, round(sum(log10((coalesce(c, 0) + CAST(0.1 AS DOUBLE)) / (n.n + CAST(0.1 AS DOUBLE) * (n.v + 1)))), 6) AS base_score FROM t LEFT JOIN c ON t.tok = c.tok, n GROUP BY doc_id, held_out, n.n"""
+
 _WORDS = r"""words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all({text}, '[^\x09-\x0D\x20]+') AS w FROM documents)),
 n AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id)"""
 
@@ -37,8 +79,12 @@ marked AS (SELECT *, max(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN
 done AS (SELECT doc_id, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(CASE WHEN gone = 0 THEN word END, ' ' ORDER BY i) AS kept FROM marked GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN done ON d.doc_id = done.doc_id"""
 
-#: The others aren't expressible: models, vocabularies and page trees; they are tested against brute force.
+#: The others aren't expressible: models, vocabularies and page trees; they are tested against brute force. Of three,
+#: what SQL can express has a query of its own.
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_dedup": _NEAR_DUPLICATES,
     "op9_substring_dedup": _SUBSTRINGS,
+    "language_held_out": _HELD_OUT,
+    "secret_base_spans": _SPANS,
+    "lm_base_scores": _BASE_SCORES,
 }
