@@ -2,6 +2,11 @@
 
 Each stage takes all documents that the one before kept, with all their columns,
 and returns those that it keeps; the last returns the encoded texts.
+
+Defined cases, for all stages: an empty table stays empty; other columns, whatever
+their names, pass unchanged up to the last stage; repeated rows are each judged
+alike, so all of them stay or go. Very long texts are read whole. What a null or
+empty text and a null doc_id mean is said at each stage.
 """
 
 from __future__ import annotations
@@ -18,22 +23,37 @@ NEAR_DUPLICATES = {"percent": 80, "bands": 38, "rows": 5, "agree": 0.65}
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model knows with enough confidence; the others go."""
+    """Documents whose language the model knows with enough confidence; the others go.
+
+    Null texts and texts without a letter have no language and go. A null lang only
+    means that the row isn't trained on; without any labelled row all documents go.
+    """
     return language_id.accepted(docs, language_id.fit(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates (five-word shingles, similarity 0.8 or more), the one with the smallest doc_id."""
+    """One document of each component of near-duplicates (five-word shingles, similarity 0.8 or more), the one with the smallest doc_id.
+
+    Rows with one doc_id are one document. Rows without doc_id, and texts without
+    words, are no duplicates and stay.
+    """
     return minhash_dedup.one_of_each(docs, **NEAR_DUPLICATES)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none and stay, as do rows without doc_id, which no
+    finding can name.
+    """
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of each secret; n_chars follows the new text."""
+    """All documents, with a mark in place of each secret; n_chars follows the new text.
+
+    Null texts stay null, empty ones empty.
+    """
     clean = secret_scan.without_secrets(docs)
     if "n_chars" not in docs.columns:
         return clean
@@ -42,7 +62,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The byte-pair encoding of each text as digests of its ids and of what they decode to."""
+    """The byte-pair encoding of each text as digests of its ids and of what they decode to; a null text is empty."""
     return bpe.bpe_digests(docs)
 
 
