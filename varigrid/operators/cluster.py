@@ -104,7 +104,8 @@ def label(member: DataFrame, place: DataFrame, edges: DataFrame, rows, border: s
     key = F.struct("xbin", "ybin", "id")
     comp = stored(found.join(place.select("id", "xbin", "ybin"), "id"), "components")
     seeds = comp.groupBy("variant_id", "component").agg(F.min(key).alias("seed"))
-    numbers = stored(ranked(seeds, [F.col("seed")], ("variant_id",), "cluster").select("variant_id", "component", "seed", F.col("cluster").cast("int").alias("cluster")), "numbers")
+    ranks = ranked(seeds, [F.col("seed")], ("variant_id",), "cluster")
+    numbers = stored(ranks.select("variant_id", "component", "seed", F.col("cluster").cast("int").alias("cluster")), "numbers")
     of_core = comp.select("variant_id", "id", "component").join(numbers, ["variant_id", "component"]).select("variant_id", "id", "cluster", "seed")
     # a place that isn't core takes the first cluster among its core neighbours'
     outer = links.join(is_i, ["variant_id", "i"], "left_anti").join(of_core.withColumnRenamed("id", "j"), ["variant_id", "j"])
@@ -115,7 +116,7 @@ def label(member: DataFrame, place: DataFrame, edges: DataFrame, rows, border: s
     late = F.struct("xbin", "ybin", "id") > F.col("seed")
     joins = F.col("core") | (late if border == "scan" else F.lit(True))
     out = stored(all_.select("variant_id", "id", F.when(F.col("cluster").isNotNull() & joins, F.col("cluster")).otherwise(0).cast("int").alias("cluster")), "labels")
-    discard(core, comp, numbers, table, *kept)
+    discard(core, comp, ranks, numbers, table, *kept)
     return out
 
 

@@ -51,4 +51,6 @@ def ranked(df: DataFrame, order: list, groups: tuple[str, ...] = (), name: str =
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
     joined = inside.alias("l").join(F.broadcast(counts).alias("r"), on)  # a row for each range and group that meet
-    return joined.select("l.*", (F.col("_before") + F.col("_in")).cast("long").alias(name)).drop("_part", "_in")
+    out = joined.select("l.*", (F.col("_before") + F.col("_in")).cast("long").alias(name)).drop("_part", "_in")
+    out._stored_path = part._stored_path  # for discard
+    return out
