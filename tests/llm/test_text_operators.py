@@ -433,12 +433,15 @@ def test_latent_directions_are_the_svd(spark):
     """Sums over tasks against the matrix itself, then its singular vectors: exact where the rank is below the sketch."""
     texts = [prose(600 + k, 56) for k in range(40)] + [None, ""]
     docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
-    n, df = decontamination.document_frequencies(docs)
+    place = decontamination.vocabulary(spark.createDataFrame([(prose(k, 900),) for k in (1, 2)], "text string"))
+    terms = int(place.max())
+    n, df = decontamination.document_frequencies(docs, place)
     weights = decontamination.term_weights(n, df)
-    found = decontamination.latent_space(docs, weights)
-    rows = np.zeros((40, decontamination.TERMS))
+    found = decontamination.latent_space(docs, place, weights)
+    rows = np.zeros((40, terms + 1))
     for k, words in enumerate(next(textvec.word_chunks(pa.array([t]), True)) for t in texts[:40]):
-        np.add.at(rows[k], (words.hashes & decontamination._MASK).astype(int), 1)
+        np.add.at(rows[k], place[(words.hashes & decontamination._MASK).astype(int)], 1)
+    rows = rows[:, 1:]  # words that are no terms
     assert n == 42 and df.tolist() == (rows > 0).sum(0).tolist()
     rows *= weights
     rows /= np.linalg.norm(rows, axis=1, keepdims=True)
@@ -465,14 +468,16 @@ def test_the_latent_space_finds_what_plain_cosine_misses(spark):
     item = " ".join(a for a, _ in topics[3])
     paraphrase = " ".join(b if i % 2 else a for i, (a, b) in enumerate(topics[3]))
     frame = spark.createDataFrame([(t,) for t in docs], "text string")
-    weights = decontamination.term_weights(*decontamination.document_frequencies(frame))
-    latent = decontamination.latent_space(frame, weights, rank=32)
+    items = [" ".join(a for a, _ in topic) for topic in topics] + [" ".join(b for _, b in topic) for topic in topics]
+    place = decontamination.vocabulary(spark.createDataFrame([(t,) for t in items], "text string"))
+    weights = decontamination.term_weights(*decontamination.document_frequencies(frame, place))
+    latent = decontamination.latent_space(frame, place, weights, rank=32)
 
     def cosines(x, y):
         (a,), (b,) = (list(textvec.word_chunks(pa.array([t]), True)) for t in (x, y))
-        at, bt = ((w.hashes & decontamination._MASK).astype(int) for w in (a, b))
+        at, bt = (place[(w.hashes & decontamination._MASK).astype(int)] - 1 for w in (a, b))
         unit = lambda v: v / np.linalg.norm(v)
-        plain = [np.bincount(t, weights[t], decontamination.TERMS) for t in (at, bt)]
+        plain = [np.bincount(t, weights[t], len(weights)) for t in (at, bt)]
         return unit(latent[at].sum(0)) @ unit(latent[bt].sum(0)), unit(plain[0]) @ unit(plain[1])
 
     near, plain = cosines(item, paraphrase)

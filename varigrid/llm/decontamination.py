@@ -1,12 +1,13 @@
 """Documents that hold benchmark items, also reworded ones, by latent semantic retrieval (operator 6).
 
-1. Document frequencies of all words, hashed into ``TERMS`` buckets, over all
-   documents. A term weighs FLOOR + log((N + 1) / (df + 1)).
+1. Terms are the words of the benchmark, hashed into ``TERMS`` buckets; other words
+   of a document are likeness to no item. Their document frequencies are taken over
+   all documents. A term weighs FLOOR + log((N + 1) / (df + 1)).
 2. All documents are cut into passages of ``PASSAGE`` words, rows of a TF-IDF matrix
    A. A randomised SVD gives its leading right singular vectors: each task sums
    A'(A Omega) over the passages it reads, Omega being ``SKETCH`` columns of random signs;
-   the sums are added up by ranges of terms, and the driver, which gets a matrix of
-   at most TERMS * (SKETCH + 1) numbers, takes the ``RANK`` leading directions (Nystroem's
+   the sums are added up by ranges of terms, and the driver, which gets SKETCH + 1
+   numbers a term, takes the ``RANK`` leading directions (Nystroem's
    method for the positive matrix A'A, so one pass is enough). Latent coordinates
    are scaled to unit variance over passages and centred, as otherwise the
    direction that all passages share would decide every cosine.
@@ -48,22 +49,34 @@ from varigrid.llm.textvec import mix, word_chunks
 TERMS = 1 << 18
 FLOOR = 0.05
 PASSAGE = 56
-SKETCH = 128
-RANK = 128
+SKETCH = 96
+RANK = 96
 HOP = 8
-NEAR = 0.34
+NEAR = 0.38
 COVER = 0.8
 REWORDED = 0.6
 ANSWER = 5
 GROUP = 1 << 15
 RUN = 2048
 _CHUNK_WORDS = 1 << 16
-_SLICES = 256
+_SLICE = 1024
 _MASK = np.uint64(TERMS - 1)
 
 
-def _added(rows: DataFrame, schema: str, width: int, kind: str) -> list:
-    """Sums of (slice, at, values) rows by slice: rows of a slice stream through one task, which holds sums only."""
+_SUMS = "slice int, at binary, values binary"
+
+
+def _sliced(x: np.ndarray):
+    """The rows of a table that aren't all zero, by slices of _SLICE rows."""
+    for k in range(0, len(x), _SLICE):
+        part = x[k : k + _SLICE]
+        at = np.flatnonzero(part.any(1)).astype(np.uint16)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array([k // _SLICE], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([part[at].tobytes()], pa.binary())], names=["slice", "at", "values"])
+
+
+def _added(parts: DataFrame, rows: int, width: int, kind: str) -> np.ndarray:
+    """The sum of sliced tables. Parts of a slice stream through one task, which holds sums only; rows and width are bounded."""
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
@@ -71,50 +84,55 @@ def _added(rows: DataFrame, schema: str, width: int, kind: str) -> list:
             for i in range(batch.num_rows):
                 k = batch.column(0)[i].as_py()
                 if k not in total:
-                    total[k] = np.zeros((TERMS // _SLICES, width), kind)
+                    total[k] = np.zeros((_SLICE, width), kind)
                 total[k][np.frombuffer(batch.column(1)[i].as_buffer(), np.uint16)] += np.frombuffer(batch.column(2)[i].as_buffer(), kind).reshape(-1, width)
         for k, x in total.items():
-            at = np.flatnonzero(x.any(1)).astype(np.uint16)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([x[at].tobytes()], pa.binary())], names=["slice", "at", "values"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b""], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["slice", "at", "values"])
 
-    return rows.repartition("slice").mapInArrow(add, schema).collect()
+    out = np.zeros((-(-rows // _SLICE) * _SLICE, width), kind)
+    for r in parts.repartition("slice").mapInArrow(add, _SUMS).collect():
+        out[r.slice * _SLICE : (r.slice + 1) * _SLICE] = np.frombuffer(bytes(r["values"]), kind).reshape(-1, width)
+    return out[:rows]
 
 
-_SUMS = "slice int, at binary, values binary"
+def vocabulary(benchmark: DataFrame) -> np.ndarray:
+    """For each bucket the number, from 1, of the benchmark's term there; 0 for none. At most TERMS numbers are collected."""
 
+    def run(batches):
+        seen = np.zeros(TERMS, bool)
+        for batch in bounded(batches):
+            for words in word_chunks(batch.column(0), True):
+                seen[(words.hashes & _MASK).astype(np.int64)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen), pa.int64())], names=["term"])
 
-def _sliced(x: np.ndarray):
-    """The rows of a table of terms that aren't all zero, by slices."""
-    each = TERMS // _SLICES
-    for k in range(_SLICES):
-        part = x[k * each : (k + 1) * each]
-        at = np.flatnonzero(part.any(1)).astype(np.uint16)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([part[at].tobytes()], pa.binary())], names=["slice", "at", "values"])
+    place = np.zeros(TERMS, np.int32)
+    terms = sorted(r.term for r in benchmark.select("text").mapInArrow(run, "term long").distinct().collect())
+    place[terms] = np.arange(1, len(terms) + 1)
+    return place
 
 
-def _whole(parts, width: int, kind: str) -> np.ndarray:
-    out, each = np.zeros((TERMS, width), kind), TERMS // _SLICES
-    for r in parts:
-        out[r.slice * each + np.frombuffer(bytes(r.at), np.uint16).astype(np.int64)] = np.frombuffer(bytes(r["values"]), kind).reshape(-1, width)
-    return out
+def _terms(words, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and numbers, from 0, of the words that are terms."""
+    found = place[(words.hashes & _MASK).astype(np.int64)]
+    at = np.flatnonzero(found)
+    return at, found[at].astype(np.int64) - 1
 
 
-def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of documents, and how many of them hold a word of each bucket. The size of both is fixed."""
+def document_frequencies(docs: DataFrame, place: np.ndarray) -> tuple[int, np.ndarray]:
+    """Number of documents, and how many of them hold each term."""
+    terms, shared = int(place.max(initial=0)), docs.sparkSession.sparkContext.broadcast(place)
 
     def run(batches):
-        df = np.zeros((TERMS, 1), np.int64)
+        df = np.zeros((terms, 1), np.int64)
         for batch in bounded(batches):
             for words in word_chunks(batch.column(0), True):
-                row = np.repeat(np.arange(len(words.counts), dtype=np.uint64), words.counts)
-                keys = np.sort(row * np.uint64(TERMS) + (words.hashes & _MASK))
-                new = np.ones(len(keys), bool)
-                new[1:] = keys[1:] != keys[:-1]
-                df[:, 0] += np.bincount((keys[new] & _MASK).astype(np.int64), minlength=TERMS)
+                at, t = _terms(words, shared.value)
+                row = np.searchsorted(words.first, at, "right")
+                keys = np.sort(row * terms + t)
+                df[:, 0] += np.bincount(keys[np.diff(keys, prepend=-1) != 0] % max(terms, 1), minlength=terms)
         yield from _sliced(df)
 
-    return docs.count(), _whole(_added(docs.select("text").mapInArrow(run, _SUMS), _SUMS, 1, "int64"), 1, "int64")[:, 0]
+    return docs.count(), _added(docs.select("text").mapInArrow(run, _SUMS), terms, 1, "int64")[:, 0]
 
 
 def term_weights(n: int, df: np.ndarray) -> np.ndarray:
@@ -145,18 +163,18 @@ def _share(part: float, n: int) -> int:
     return k if k >= part * n else k + 1
 
 
-def signs(sketch: int = SKETCH) -> np.ndarray:
+def signs(terms: int, sketch: int = SKETCH) -> np.ndarray:
     """Omega: random signs for each term, the same in every task."""
     words = -(-sketch // 64)
-    seed = np.arange(TERMS * words, dtype=np.uint64) + np.uint64(0x51ED270B)
-    bits = np.unpackbits(mix(mix(seed)).view(np.uint8).reshape(TERMS, 8 * words), axis=1)[:, :sketch]
-    return (bits.astype(np.int8) * 2 - 1).astype(np.int8)
+    seed = np.arange(terms * words, dtype=np.uint64) + np.uint64(0x51ED270B)
+    bits = np.unpackbits(mix(mix(seed)).view(np.uint8).reshape(terms, 8 * words), axis=1)[:, :sketch]
+    return (bits.astype(np.int8) * 2 - 1).astype(np.float32)
 
 
 def _passage_sums(z: np.ndarray, omega: np.ndarray, terms: np.ndarray, passage: np.ndarray, weights: np.ndarray) -> int:
     """Add x (x' Omega) for each passage row x of unit length to z, and x itself to z's last column; returns passages."""
-    key, tf = np.unique(passage * TERMS + terms, return_counts=True)
-    t, p = key % TERMS, key // TERMS
+    key, tf = np.unique(passage * len(z) + terms, return_counts=True)
+    t, p = key % len(z), key // len(z)
     first = np.flatnonzero(np.diff(p, prepend=-1))
     p = np.cumsum(np.diff(p, prepend=-1) != 0) - 1
     x = tf * weights[t]
@@ -170,39 +188,39 @@ def _passage_sums(z: np.ndarray, omega: np.ndarray, terms: np.ndarray, passage:
     return len(first)
 
 
-def latent_space(docs: DataFrame, weights: np.ndarray, sketch: int = SKETCH, rank: int = RANK) -> np.ndarray:
-    """What each occurrence of a term adds to a latent vector (TERMS x rank), from the passages of all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+def latent_space(docs: DataFrame, place: np.ndarray, weights: np.ndarray, sketch: int = SKETCH, rank: int = RANK) -> np.ndarray:
+    """What each occurrence of a term adds to a latent vector (terms x rank), from the passages of all documents."""
+    shared = docs.sparkSession.sparkContext.broadcast((place, weights))
 
     def run(batches):
-        omega, w = signs(sketch), shared.value
-        z, n = np.zeros((TERMS, sketch + 1), np.float32), 0
+        place, w = shared.value
+        omega = signs(len(w), sketch)
+        z, n = np.zeros((len(w), sketch + 1), np.float32), 0
         for batch in bounded(batches):
             for words in word_chunks(batch.column(0), True):
-                row = np.repeat(np.arange(len(words.counts)), words.counts)
+                at, terms = _terms(words, place)
+                row = np.searchsorted(words.first, at, "right") - 1
                 before = np.concatenate([[0], np.cumsum(-(-words.counts // PASSAGE))])
-                passage = before[row] + (np.arange(len(row)) - words.first[row]) // PASSAGE
-                terms = (words.hashes & _MASK).astype(np.int64)
-                at = 0
-                while at < len(terms):  # whole passages
-                    stop = min(len(terms), at + _CHUNK_WORDS)
+                passage = before[row] + (at - words.first[row]) // PASSAGE
+                k = 0
+                while k < len(terms):  # whole passages
+                    stop = min(len(terms), k + _CHUNK_WORDS)
                     if stop < len(terms):
                         stop = int(np.searchsorted(passage, passage[stop]))
-                    n += _passage_sums(z, omega, terms[at:stop], passage[at:stop], w)
-                    at = stop
+                    n += _passage_sums(z, omega, terms[k:stop], passage[k:stop], w)
+                    k = stop
         yield from _sliced(z)
 
-    z = _whole(_added(docs.select("text").mapInArrow(run, _SUMS), _SUMS, sketch + 1, "float32"), sketch + 1, "float32")
-    return directions(z[:, :-1], z[:, -1], signs(sketch), weights, rank)
+    z = _added(docs.select("text").mapInArrow(run, _SUMS), len(weights), sketch + 1, "float32")
+    return directions(z[:, :-1], z[:, -1], signs(len(weights), sketch), weights, rank)
 
 
 def directions(z: np.ndarray, total: np.ndarray, omega: np.ndarray, weights: np.ndarray, rank: int) -> np.ndarray:
     """Latent vectors of single occurrences, from Z = A'A Omega and the sum of A's rows."""
-    used = np.flatnonzero(z.any(1))
-    out = np.zeros((TERMS, rank), np.float32)
-    if not len(used):
+    out = np.zeros((len(z), rank), np.float32)
+    if not z.any():
         return out
-    y, o = z[used].astype(np.float64), omega[used].astype(np.float64)
+    y, o = z.astype(np.float64), omega.astype(np.float64)
     core = o.T @ y
     value, vec = np.linalg.eigh((core + core.T) / 2)
     keep = value > max(value[-1], 0) * 1e-5  # what single precision can tell from nothing
@@ -211,25 +229,25 @@ def directions(z: np.ndarray, total: np.ndarray, omega: np.ndarray, weights: np.
     keep = np.flatnonzero(value > max(value[-1], 0) * 1e-5)[::-1][:rank]
     base = root @ (vec[:, keep] / np.sqrt(value[keep]))  # orthonormal directions, value: their sums of squares
     latent = base / np.sqrt(value[keep])
-    mean = total[used].astype(np.float64) @ latent  # sums over passages of unit length; only its direction counts
+    mean = total.astype(np.float64) @ latent  # sums over passages of unit length; only its direction counts
     size = np.linalg.norm(mean)
-    latent *= weights[used][:, None]
+    latent *= weights[:, None]
     if size > 0:  # what all passages share is no likeness
         latent -= np.outer(latent @ mean, mean) / size**2
-    out[used, : latent.shape[1]] = latent
+    out[:, : latent.shape[1]] = latent
     return out
 
 
 class Search:
-    """What a task needs of a group of items."""
+    """What a task needs of a group of items: each term's number by bucket, and its latent vector."""
 
-    def __init__(self, items: list[Item], latent: np.ndarray):
-        self.items = items
+    def __init__(self, items: list[Item], place: np.ndarray, latent: np.ndarray):
+        self.items, self.place, self.latent = items, place, latent
         known = np.unique(np.concatenate([i.words for i in items])) if items else np.zeros(0, np.uint64)
         self.known = known
         passages = sorted(((i, start, words) for i, item in enumerate(items) for start, words in item.passages()), key=lambda x: len(x[2]))
         self.owner, self.offset = [i for i, _, _ in passages], [start for _, start, _ in passages]
-        vectors = np.array([latent[(words & _MASK).astype(np.int64)].sum(0) for _, _, words in passages], np.float32).reshape(len(passages), -1)
+        vectors = np.array([latent[place[(words & _MASK).astype(np.int64)] - 1].sum(0) for _, _, words in passages], np.float32).reshape(len(passages), -1)
         self.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
         sizes = [-(-len(words) // HOP) + 1 for _, _, words in passages]
         self.groups = [(size, slice(sizes.index(size), sizes.index(size) + sizes.count(size))) for size in sorted(set(sizes))]
@@ -239,27 +257,35 @@ class Search:
         self.keys = np.unique(np.concatenate([[0], *[k * len(known) + np.searchsorted(known, words) for k, (_, _, words) in enumerate(passages)]]).astype(np.int64))
         self._bits: dict[int, dict[int, int]] = {}
 
-    def candidates(self, words, latent: np.ndarray):
+    def candidates(self, words):
         """(row, first word, end word, passage, cosine), in runs of bounded size."""
         hops = -(-words.counts // HOP)
         row = np.repeat(np.arange(len(hops)), hops)
         last = np.cumsum(hops)  # the end of each row's hops
         begin = np.append(words.first[row] + (np.arange(len(row)) - (last - hops)[row]) * HOP, words.first[-1])
-        place = np.minimum(np.searchsorted(self.known, words.hashes), max(len(self.known) - 1, 0))
-        known = self.known[place] == words.hashes if len(self.known) else np.zeros(len(place), bool)
+        terms_at, terms = _terms(words, self.place)
+        hop_of = np.searchsorted(begin, terms_at, "right") - 1
+        # a term's bucket may hold other words too
+        own = np.minimum(np.searchsorted(self.known, words.hashes[terms_at]), max(len(self.known) - 1, 0))
+        known, place = np.zeros(len(words.hashes), bool), np.zeros(len(words.hashes), np.int64)
+        known[terms_at] = self.known[own] == words.hashes[terms_at] if len(self.known) else False
+        place[terms_at] = own
         count = np.concatenate([[0], np.cumsum(known)])
         for at in range(0, len(row), RUN):
             here = np.arange(at, min(at + RUN, len(row)))
             stop = min(at + RUN + self.widest, len(row))
-            span = slice(begin[at], begin[stop])
-            each = np.add.reduceat(latent[(words.hashes[span] & _MASK).astype(np.int64)], begin[at:stop] - begin[at])
-            total = np.zeros((stop - at + 1, each.shape[1]))
-            np.cumsum(each, axis=0, out=total[1:])
+            span = slice(*np.searchsorted(terms_at, [begin[at], begin[stop]]))
+            total = np.zeros((stop - at + 1, self.latent.shape[1]))
+            if span.stop > span.start:
+                hop = hop_of[span] - at
+                new = np.flatnonzero(np.diff(hop, prepend=-1))
+                total[hop[new] + 1] = np.add.reduceat(self.latent[terms[span]], new)
+            np.cumsum(total, axis=0, out=total)
             for size, which in self.groups:
                 end = np.minimum(here + size, last[row[here]])
                 # no window with fewer words of any item can be accepted, nor can those around it
-                wide = np.minimum(here + 2 * size, last[row[here]])
-                low = np.maximum(here - size, (last - hops)[row[here]])
+                wide = np.minimum(here + size + -(-size // 2), last[row[here]])
+                low = np.maximum(here - -(-size // 2), (last - hops)[row[here]])
                 some = np.flatnonzero(count[np.minimum(begin[wide], words.first[row[here] + 1])] - count[begin[low]] >= self.need[which].min())
                 if not len(some):
                     continue
@@ -308,7 +334,7 @@ class Search:
         return n - v.bit_count(), k == tail, [i for i, _ in masks]
 
 
-def _search(search, latent):
+def _search(search):
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("common", pa.int64()), ("item_words", pa.int64()), ("cosine", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())])
 
     def run(batches):
@@ -317,7 +343,7 @@ def _search(search, latent):
             out = {}
             for words in word_chunks(batch.column(1), True):
                 tried = set()
-                for row, first, end, passage, cos in r.candidates(words, latent.value):
+                for row, first, end, passage, cos in r.candidates(words):
                     item = r.owner[passage]
                     if (row + words.row0, item) in out:
                         continue
@@ -373,13 +399,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, group: int = GROUP) ->
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    latent, found = None, None
+    place, latent, found = None, None, None
     for items in _groups(benchmark, group):
         if latent is None:
-            vectors = latent_space(docs, term_weights(*document_frequencies(docs)))
-            latent = spark.sparkContext.broadcast(vectors)  # TERMS x RANK whatever the input
-        search = spark.sparkContext.broadcast(Search(items, vectors))
-        more = docs.mapInArrow(_search(search, latent), _FOUND)
+            place = vocabulary(benchmark)
+            latent = latent_space(docs, place, term_weights(*document_frequencies(docs, place)))  # at most TERMS x RANK
+        search = spark.sparkContext.broadcast(Search(items, place, latent))
+        more = docs.mapInArrow(_search(search), _FOUND)
         found = more if found is None else found.unionByName(more)
     return spark.createDataFrame([], _FOUND) if found is None else found.distinct()
 
