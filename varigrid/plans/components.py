@@ -100,6 +100,16 @@ def _stars(edges: DataFrame, keys: list[str], n: int) -> DataFrame:
     return chained.unionByName(least_of.select(*keys, "a", F.col("low").alias("b"))).distinct()
 
 
+def _unsettled(edges: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """Number of edges, and of nodes that have two parents or a parent and children: none if all is stars."""
+    child = edges.select(*keys, F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    parent = edges.select(*keys, F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    nodes = child.unionByName(parent).groupBy(*keys, "node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    open_ = F.when((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("down") == 1)), 1).otherwise(0)
+    r = nodes.agg(F.sum("up"), F.sum(open_)).first()
+    return int(r[0] or 0), int(r[1] or 0)
+
+
 def connected_components(edges: DataFrame, keys: tuple[str, ...] = (), name: str = "components") -> DataFrame:
     """(keys..., a, b) edges to (keys..., node, component): the smallest node that each node reaches.
 
@@ -108,20 +118,18 @@ def connected_components(edges: DataFrame, keys: tuple[str, ...] = (), name: str
     converge together. Tasks first replace the edges they hold by one star for each
     component of them, at most ``RUN`` edges at a time, so that what is left grows
     with nodes. Each round is written to the shared folder, the one before is
-    removed, and the driver sees a count and a digest. Rounds grow with the
-    logarithm of the longest path.
+    removed, and the driver sees two counts. Rounds grow with the logarithm of the
+    longest path; ``discard`` removes the last one's table.
     """
     ks = list(keys)
     e = stored(_contract(edges.filter("a <> b"), ks).distinct(), name)
-    before = None
-    while True:
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64(*ks, "a", "b"))).first()
-        if now[0] == 0 or now == before:
-            break
-        before, last = now, e
-        e = stored(_contract(_stars(e, ks, now[0]), ks).distinct(), name)
+    n, open_ = _unsettled(e, ks)
+    while open_:
+        last = e
+        e = stored(_contract(_stars(e, ks, n), ks).distinct(), name)
         discard(last)
+        n, open_ = _unsettled(e, ks)
     roots = e.select(*ks, F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     out = e.select(*ks, F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
-    out._stored_path = e._stored_path  # for discard
+    out._stored_path = e._stored_path
     return out
