@@ -232,7 +232,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     sizes = families.join(classes.select(F.col("rep").alias("node"), "n"), "node").groupBy("family").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
     text = docs.join(families, docs["doc_id"] == families["node"]).select("family", "node", "text").mapInArrow(_sets(shingle), "family long, node long, shingles binary").filter("length(shingles) > 0")
     parts = F.greatest(F.ceil(F.col("c") / group), F.ceil(F.col("n") / GROUP_SHINGLES))
-    full = _parts(text.join(sizes, "family"), "node", parts).select("family", "p", "q", "node", "shingles")
+    # dealt by all three, as what is dealt by family alone would keep a family's parts in one task
+    full = _parts(text.join(sizes, "family"), "node", parts).select("family", "p", "q", "node", "shingles").repartition("family", "p", "q")
     exact = full.groupBy("family", "p", "q").applyInArrow(_exact_edges(percent), "a long, b long")
     # a doc_id with several texts joins their classes
     several = known.groupBy("doc_id", "d1", "d2").agg(F.count("*")).groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id")
