@@ -25,7 +25,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -252,14 +251,14 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """Documents whose language is known with enough confidence, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
-    @F.pandas_udf("boolean")
-    def sure(column: pd.Series) -> pd.Series:
-        lang, score = shared.value.predict(pa.array(column, pa.string(), from_pandas=True))
-        return pd.Series((score >= shared.value.threshold) & (np.array(lang, object) != "und"))
+    def run(batches):
+        for batch in bounded(batches):
+            lang, score = shared.value.predict(batch.column(at))
+            yield batch.filter(pa.array((score >= shared.value.threshold) & (np.array(lang, object) != "und")))
 
-    return docs.filter(sure("text"))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

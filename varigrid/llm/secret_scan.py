@@ -262,27 +262,27 @@ def without_secrets(docs: DataFrame, automata: dict[int, Automaton] | None = Non
     automata = infer(docs) if automata is None else automata
     candidates = _candidates(automata) if automata else None
 
-    @F.pandas_udf("string")
-    def clean(column):
-        def one(t):
-            if not t:
-                return t
-            raw = t.encode()
-            spans = all_spans(raw, automata, candidates)
-            if not spans:
-                return t
-            out, at = [], 0
-            for s, _, e in spans:
-                if s >= at:
-                    out += [raw[at:s], mark.encode()]
-                elif e <= at:
-                    continue
-                at = max(at, e)
-            return b"".join([*out, raw[at:]]).decode()
-
-        return column.map(one)
-
-    return docs.withColumn("text", clean("text"))
+    place = docs.columns.index("text")
+
+    def one(t):
+        if not t:
+            return t
+        raw = t.encode()
+        out, at = [], 0
+        for s, _, e in all_spans(raw, automata, candidates):
+            if s >= at:
+                out += [raw[at:s], mark.encode()]
+            elif e <= at:
+                continue
+            at = max(at, e)
+        return b"".join([*out, raw[at:]]).decode() if out else t
+
+    def run(batches):
+        for batch in bounded(batches):
+            field = batch.schema.field(place)
+            yield batch.set_column(place, field, pa.array(map(one, texts(batch.column(place))), field.type))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
