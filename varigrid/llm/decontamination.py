@@ -243,8 +243,6 @@ class Search:
 
     def __init__(self, items: list[Item], place: np.ndarray, latent: np.ndarray):
         self.items, self.place, self.latent = items, place, latent
-        known = np.unique(np.concatenate([i.words for i in items])) if items else np.zeros(0, np.uint64)
-        self.known = known
         passages = sorted(((i, start, words) for i, item in enumerate(items) for start, words in item.passages()), key=lambda x: len(x[2]))
         self.owner, self.offset = [i for i, _, _ in passages], [start for _, start, _ in passages]
         vectors = np.array([latent[place[(words & _MASK).astype(np.int64)] - 1].sum(0) for _, _, words in passages], np.float32).reshape(len(passages), -1)
@@ -253,8 +251,8 @@ class Search:
         self.groups = [(size, slice(sizes.index(size), sizes.index(size) + sizes.count(size))) for size in sorted(set(sizes))]
         self.widest = max(sizes, default=1)
         self.need = np.array([_share(REWORDED, len(words)) for _, _, words in passages])
-        # each word of each passage, by passage and the word's number among all
-        self.keys = np.unique(np.concatenate([[0], *[k * len(known) + np.searchsorted(known, words) for k, (_, _, words) in enumerate(passages)]]).astype(np.int64))
+        # each term of each passage, by passage and number
+        self.keys = np.unique(np.concatenate([[-1], *[k * len(latent) + place[(words & _MASK).astype(np.int64)] - 1 for k, (_, _, words) in enumerate(passages)]]).astype(np.int64))
         self._bits: dict[int, dict[int, int]] = {}
 
     def candidates(self, words):
@@ -264,18 +262,14 @@ class Search:
         last = np.cumsum(hops)  # the end of each row's hops
         begin = np.append(words.first[row] + (np.arange(len(row)) - (last - hops)[row]) * HOP, words.first[-1])
         terms_at, terms = _terms(words, self.place)
-        hop_of = np.searchsorted(begin, terms_at, "right") - 1
-        # a term's bucket may hold other words too
-        own = np.minimum(np.searchsorted(self.known, words.hashes[terms_at]), max(len(self.known) - 1, 0))
-        known, place = np.zeros(len(words.hashes), bool), np.zeros(len(words.hashes), np.int64)
-        known[terms_at] = self.known[own] == words.hashes[terms_at] if len(self.known) else False
-        place[terms_at] = own
-        count = np.concatenate([[0], np.cumsum(known)])
+        of = np.searchsorted(words.first, terms_at, "right") - 1
+        hop_of = (last - hops)[of] + (terms_at - words.first[of]) // HOP
+        before = np.searchsorted(terms_at, begin)  # terms before each hop
         for at in range(0, len(row), RUN):
             here = np.arange(at, min(at + RUN, len(row)))
             stop = min(at + RUN + self.widest, len(row))
-            span = slice(*np.searchsorted(terms_at, [begin[at], begin[stop]]))
-            total = np.zeros((stop - at + 1, self.latent.shape[1]))
+            span = slice(before[at], before[stop])
+            total = np.zeros((stop - at + 1, self.latent.shape[1]), np.float32)
             if span.stop > span.start:
                 hop = hop_of[span] - at
                 new = np.flatnonzero(np.diff(hop, prepend=-1))
@@ -286,25 +280,24 @@ class Search:
                 # no window with fewer words of any item can be accepted, nor can those around it
                 wide = np.minimum(here + size + -(-size // 2), last[row[here]])
                 low = np.maximum(here - -(-size // 2), (last - hops)[row[here]])
-                some = np.flatnonzero(count[np.minimum(begin[wide], words.first[row[here] + 1])] - count[begin[low]] >= self.need[which].min())
+                some = np.flatnonzero(before[wide] - before[low] >= self.need[which].min())
                 if not len(some):
                     continue
-                v = (total[end[some] - at] - total[here[some] - at]).astype(np.float32)
+                v = total[end[some] - at] - total[here[some] - at]
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
                 cos = v @ self.vectors[which].T
                 i, j = np.nonzero(cos >= NEAR)
                 for k in range(0, len(i), RUN):
-                    yield from self._enough(some[i[k : k + RUN]], j[k : k + RUN] + which.start, cos[i[k : k + RUN], j[k : k + RUN]], words, place, known, row[here], begin, low, wide, here, end)
+                    yield from self._enough(some[i[k : k + RUN]], j[k : k + RUN] + which.start, cos[i[k : k + RUN], j[k : k + RUN]], words, terms, row[here], begin, before, low, wide, here, end)
 
-    def _enough(self, k, passage, cos, words, place, known, row, begin, low, wide, here, end):
+    def _enough(self, k, passage, cos, words, terms, row, begin, before, low, wide, here, end):
         """Of candidates those around which there are enough of the passage's words."""
-        first, stop = begin[low[k]], np.minimum(begin[wide[k]], words.first[row[k] + 1])
-        n = stop - first
+        first = before[low[k]]
+        n = before[wide[k]] - first
         starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-        index = np.repeat(first - starts, n) + np.arange(n.sum())
-        key = np.repeat(passage * len(self.known), n) + place[index]
-        found = known[index] & (self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] == key)
-        same = np.add.reduceat(found.astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
+        key = np.repeat(passage * len(self.latent), n) + terms[np.repeat(first - starts, n) + np.arange(n.sum())]
+        found = self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] == key
+        same = np.add.reduceat(found.astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)  # no window here is without terms
         for m in np.flatnonzero(same >= self.need[passage]).tolist():
             w = k[m]
             yield int(row[w]), int(begin[here[w]]), int(min(begin[end[w]], words.first[row[w] + 1])), int(passage[m]), float(cos[m])
