@@ -7,7 +7,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written, where the session sets none itself: a job's shuffle files go at its end, and
+#: Python workers get small batches, as two of them share an executor's memory with the JVM.
+_WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,20 +38,19 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and return it as read from there.
 
-    This cuts the lineage; a lost executor costs nothing that was written. The
-    shuffle files of the job that wrote it are removed at its end, where the
-    session lets that be set. ``discard`` removes the table.
+    This cuts the lineage; a lost executor costs nothing that was written. Settings
+    that hold while it is written are undone afterwards. ``discard`` removes the table.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/varigrid-{name}-{uuid.uuid4().hex}"
-    before, can = spark.conf.get(_CLEAN, None), spark.conf.isModifiable(_CLEAN)
-    if can:
-        spark.conf.set(_CLEAN, "true")
+    ours = [k for k in _WHILE_WRITING if spark.conf.get(k, None) is None and spark.conf.isModifiable(k)]
+    for k in ours:
+        spark.conf.set(k, _WHILE_WRITING[k])
     try:
         df.write.parquet(path)
     finally:
-        if can:
-            spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
+        for k in ours:
+            spark.conf.unset(k)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
     return out
