@@ -6,7 +6,8 @@ from pathlib import Path
 import pytest
 
 from tests.test_cluster import cloud, got, scan
-from varigrid.operators import cells, cluster
+from varigrid.operators import cells, cluster, stats
+from varigrid.operators import neighbors as N
 from varigrid.plans.storage import shared_dir
 from varigrid.sources import points as P
 
@@ -49,3 +50,22 @@ def test_cells_too_many_for_double_precision(spark):
     assert cells.fits(df, [(0, 1e-5, 2)]) is None
     assert cells.fits(df, [(0, 2.0, 2), (1, 0.0, 2)]) == (0.0, 0.0)
     assert got(spark, points, [(2e-5, 2)]) == [scan(points, 2e-5, 2)]
+
+
+@pytest.mark.parametrize("direct", [0, 10**6])
+def test_frontier_without_pairs(spark, monkeypatch, direct):
+    """The same points as all pairs give; copies of a place with one label and with two."""
+    monkeypatch.setattr(cells, "DIRECT", direct)
+    r = random.Random(4)
+    points = [(i, r.randrange(60) / 10, r.randrange(40) / 10) for i in range(500)]
+    df = P.as_points(spark.createDataFrame(points, "id long, x double, y double"))
+    rows = [(v, i, r.choice((0, 1, 2)) if v else int(x > 3.1) + int(y > 3.9)) for v in (0, 1) for i, x, y in points]
+    labels = spark.createDataFrame(rows, "variant_id int, id long, cluster int")
+    for eps in (0.0, 0.35) if direct else (0.35,):
+        near = {i: [j for j, u, w in points if ((x - u) ** 2 + (y - w) ** 2) ** 0.5 <= eps] for i, x, y in points}
+        of = {(v, i): c for v, i, c in rows}
+        want = {(v, c, i) for v, i, c in rows if c and any(of[v, j] != c for j in near[i])}
+        assert sorted(map(tuple, stats.frontier(labels, df, eps).collect())) == sorted(want)
+    if direct:
+        monkeypatch.setattr(N, "eps_join", None)  # pairs aren't made
+        assert stats.frontier(labels, df, 0.35).count() == len(want)

@@ -152,8 +152,7 @@ def _outside(spark, d):
 
 
 def _frontier(spark, d):
-    points, got = load(spark, d, "part"), stored(labels(spark, d, "part", border="scan"), "labels")
-    return S.growth_frontier(got, N.eps_join(points, 2.0))
+    return S.frontier(labels(spark, d, "part", border="scan"), load(spark, d, "part"), 2.0)
 
 
 def _wide(spark, d):
