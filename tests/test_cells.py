@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 
 from tests.test_cluster import cloud, got, scan
+from varigrid import queries
 from varigrid.operators import cells, cluster, stats
 from varigrid.operators import neighbors as N
 from varigrid.plans.storage import shared_dir
@@ -69,3 +70,13 @@ def test_frontier_without_pairs(spark, monkeypatch, direct):
     if direct:
         monkeypatch.setattr(N, "eps_join", None)  # pairs aren't made
         assert stats.frontier(labels, df, 0.35).count() == len(want)
+
+
+#: Queries whose labels are made without a join of points in reach.
+NO_PAIRS = ["cluster_density_rank"]
+
+
+@pytest.mark.parametrize("name", NO_PAIRS)
+def test_query_makes_no_pairs(spark, sf_dir, monkeypatch, name):
+    monkeypatch.setattr(cluster, "eps_join", None)
+    queries.QUERIES[name](spark, sf_dir).collect()
