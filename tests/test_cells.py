@@ -73,7 +73,7 @@ def test_frontier_without_pairs(spark, monkeypatch, direct):
 
 
 #: Queries whose labels are made without a join of points in reach.
-NO_PAIRS = ["cluster_density_rank", "label_listing", "variant_summary", "dbscan_events", "array_labels", "labels_csv", "variant_dbscan_wide"]
+NO_PAIRS = ["cluster_density_rank", "label_listing", "variant_summary", "dbscan_events", "array_labels", "labels_csv", "variant_dbscan_wide", "variant_dbscan_reuse"]
 
 
 @pytest.mark.parametrize("name", NO_PAIRS)
