@@ -76,6 +76,21 @@ def test_rows_of_one_doc_id_are_one_document(table):
     assert sorted_rows(minhash_dedup.near_duplicates(table(rows))) == sorted(brute_components(rows), key=repr)
 
 
+def test_links_are_read_from_tables(table, monkeypatch):
+    """What contracts links has no other Python worker in its stage, as executors keep the workers of a task."""
+    plans, real = [], minhash_dedup.connected_components
+
+    def seen(edges, *a, **b):
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return real(edges, *a, **b)
+
+    monkeypatch.setattr(minhash_dedup, "connected_components", seen)
+    text = " ".join(f"w{i}" for i in range(60))
+    got = minhash_dedup.near_duplicates(table([(0, text), (1, text + " more"), (2, "other words")])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(0, 0), (1, 0), (2, 2)]
+    assert len(plans) == 2 and not any("InArrow" in p for p in plans)
+
+
 def test_near_duplicates_of_an_empty_table(table):
     assert minhash_dedup.near_duplicates(table([])).count() == 0
 

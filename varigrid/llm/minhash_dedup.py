@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from varigrid.llm.blocks import bounded, stored
 from varigrid.llm.textvec import mix, run_hashes, word_chunks
 from varigrid.plans.components import connected_components
+from varigrid.plans.storage import discard
 
 SHINGLE = 5
 PERCENT = 85
@@ -227,8 +228,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     pairs = members.join(once, "key").join(classes.select("rep", "sig"), "rep")
     dealt = _parts(pairs, "rep", F.ceil(F.col("c") / group)).select("key", "p", "q", "rep", "sig")
     rough = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_bucket_edges(agree), "a long, b long")
+    # links are stored before they are contracted: in one stage each task would hold two Python workers, and an executor keeps all of them
+    rough = stored(rough, "rough")
     families = connected_components(rough, name="families").select(F.col("node"), F.col("component").alias("family"))
     families = stored(families, "families")
+    discard(rough)
     sizes = families.join(classes.select(F.col("rep").alias("node"), "n"), "node").groupBy("family").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
     text = docs.join(families, docs["doc_id"] == families["node"]).select("family", "node", "text").mapInArrow(_sets(shingle), "family long, node long, shingles binary").filter("length(shingles) > 0")
     parts = F.greatest(F.ceil(F.col("c") / group), F.ceil(F.col("n") / GROUP_SHINGLES))
@@ -238,7 +242,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     # a doc_id with several texts joins their classes
     several = known.groupBy("doc_id", "d1", "d2").agg(F.count("*")).groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id")
     same = known.join(several, "doc_id").select("doc_id", "d1", "d2").distinct().join(classes.select("d1", "d2", "rep"), ["d1", "d2"])
-    comps = stored(connected_components(exact.unionByName(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), name="links"), "components")
+    links = stored(exact.unionByName(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "exact")
+    comps = stored(connected_components(links, name="links"), "components")
+    discard(links)
     of_class = classes.select("d1", "d2", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     with_words = sk.filter("d1 IS NOT NULL").select("doc_id", "n", "d1", "d2").join(of_class, ["d1", "d2"], "left").select("doc_id", "n", "component")
     without = sk.filter("d1 IS NULL").select("doc_id", "n").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", "component")
