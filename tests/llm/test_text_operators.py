@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+import types
 import zlib
 
 import numpy as np
@@ -523,6 +524,43 @@ def test_recall_of_reworded_items_on_the_test_table(spark):
     assert found[0.0] == each and found[0.2] >= 0.9 * each and found[0.4] >= 0.9 * each
 
 
+def test_only_places_with_enough_of_an_item_are_compared(spark, monkeypatch):
+    """A place that is like an item but hasn't its words isn't compared word by word; what is found is the same as with all of them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    benchmark = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    place = decontamination.vocabulary(benchmark)
+    latent = decontamination.latent_space(docs, place, decontamination.term_weights(*decontamination.document_frequencies(docs, place)))
+    search = decontamination.Search(next(decontamination._groups(benchmark, decontamination.GROUP)), place, latent)
+    batches = docs.toArrow().to_batches()
+    compared, check = [], decontamination.Search.check
+    monkeypatch.setattr(decontamination.Search, "check", lambda *a: compared.append(1) or check(*a))
+
+    def found():
+        compared.clear()
+        return [row for out in decontamination._search(types.SimpleNamespace(value=search))(batches) for row in out.to_pylist()], len(compared)
+
+    rows, n = found()
+    assert 10 < len(rows) <= n <= 2 * len(rows)
+    search.least[:] = 0  # all candidates
+    again, more = found()
+    assert again == rows and more > 10 * n
+
+
+def test_sums_of_passages_are_those_of_the_matrix():
+    """Terms that most passages hold, terms that few hold and passages of one term; every way of adding gives A'(A Omega)."""
+    r = np.random.default_rng(4)
+    passage = np.sort(np.concatenate([np.arange(1500), r.integers(0, 1500, 20_000)]))
+    terms = (r.random(len(passage)) ** 3 * 700).astype(np.int64)
+    weights, omega = r.random(700).astype(np.float32) + np.float32(0.1), decontamination.signs(700)
+    z = np.zeros((700, decontamination.SKETCH + 1), np.float32)
+    assert decontamination._passage_sums(z, omega, terms, passage + 9, weights) == 1500
+    a = np.zeros((1500, 700))
+    np.add.at(a, (passage, terms), 1)
+    a *= weights
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    assert np.allclose(z[:, :-1], a.T @ (a @ omega), rtol=1e-4, atol=1e-3) and np.allclose(z[:, -1], a.sum(0), rtol=1e-4)
+
+
 def test_a_very_long_text_is_searched_whole(spark):
     item = prose(70, 40)
     docs = spark.createDataFrame([(1, f"{prose(3, 150_000)} {item} {prose(4, 100)}"), (2, prose(5, 5000))], "doc_id long, text string")

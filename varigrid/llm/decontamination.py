@@ -16,8 +16,9 @@
    longer than the passage, is a candidate if its latent cosine with the passage
    reaches ``NEAR``, and it or the hops around hold enough of the passage's words
    for step 4 to accept.
-4. Around each candidate the longest common subsequence of words is taken. An item
-   is in the document if it covers ``COVER`` of its words, or ``REWORDED`` of them
+4. Around each candidate the longest common subsequence of words is taken, if enough
+   of the item's words are there, each as often as the item has it: it can't be
+   longer than that, so no item is lost. An item is in the document if it covers ``COVER`` of its words, or ``REWORDED`` of them
    and the answer, the item's last fifth and three words at least, is there in full
    and in order.
 
@@ -163,6 +164,24 @@ def _share(part: float, n: int) -> int:
     return k if k >= part * n else k + 1
 
 
+def _run_sums(table: np.ndarray, at: np.ndarray, first: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
+    """Sum of the rows table[at], times a factor each, over every run from one first to the next: all runs' first rows, then all second ones."""
+    n = np.diff(first, append=len(at))
+    order = np.argsort(-n, kind="stable")
+    begin, n = first[order], n[order]
+    longer = len(n) - np.searchsorted(n[::-1], np.arange(n[0] if len(n) else 0), "right")
+    total = np.zeros((len(n), table.shape[1]), np.float32)
+    for k, m in enumerate(longer.tolist()):
+        rows = begin[:m] + k
+        part = np.take(table, at[rows], axis=0)
+        if times is not None:
+            part *= times[rows, None]
+        total[:m] += part
+    out = np.empty_like(total)
+    out[order] = total
+    return out
+
+
 def signs(terms: int, sketch: int = SKETCH) -> np.ndarray:
     """Omega: random signs for each term, the same in every task."""
     words = -(-sketch // 64)
@@ -179,12 +198,21 @@ def _passage_sums(z: np.ndarray, omega: np.ndarray, terms: np.ndarray, passage:
     p = np.cumsum(np.diff(p, prepend=-1) != 0) - 1
     x = tf * weights[t]
     x = (x / np.sqrt(np.add.reduceat(x * x, first))[p]).astype(np.float32)
-    y = np.add.reduceat(omega[t] * x[:, None], first)
+    y = _run_sums(omega, t, first, x)
     order = np.argsort(t, kind="stable")
     t, x, p = t[order], x[order], p[order]
     at = np.flatnonzero(np.diff(t, prepend=-1))
-    z[t[at], :-1] += np.add.reduceat(y[p] * x[:, None], at)
     z[t[at], -1] += np.add.reduceat(x, at)
+    # terms that a 64th of the passages hold are a dense matrix, of 64 numbers for each number of x at most
+    often = np.diff(at, append=len(t)) * 64 >= max(len(first), 64 * 16)
+    of = np.repeat(np.cumsum(often) - 1, np.diff(at, append=len(t)))
+    dense = np.repeat(often, np.diff(at, append=len(t)))
+    rows = np.zeros((int(often.sum()), len(first)), np.float32)
+    rows[of[dense], p[dense]] = x[dense]
+    z[t[at[often]], :-1] += rows @ y
+    t, x, p = t[~dense], x[~dense], p[~dense]
+    at = np.flatnonzero(np.diff(t, prepend=-1))
+    z[t[at], :-1] += _run_sums(y, p, at, x)
     return len(first)
 
 
@@ -244,7 +272,7 @@ class Search:
     def __init__(self, items: list[Item], place: np.ndarray, latent: np.ndarray):
         self.items, self.place, self.latent = items, place, latent
         passages = sorted(((i, start, words) for i, item in enumerate(items) for start, words in item.passages()), key=lambda x: len(x[2]))
-        self.owner, self.offset = [i for i, _, _ in passages], [start for _, start, _ in passages]
+        self.owner, self.offset = (np.array([p[k] for p in passages], np.int64) for k in (0, 1))
         vectors = np.array([latent[place[(words & _MASK).astype(np.int64)] - 1].sum(0) for _, _, words in passages], np.float32).reshape(len(passages), -1)
         self.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
         sizes = [-(-len(words) // HOP) + 1 for _, _, words in passages]
@@ -253,10 +281,17 @@ class Search:
         self.need = np.array([_share(REWORDED, len(words)) for _, _, words in passages])
         # each term of each passage, by passage and number
         self.keys = np.unique(np.concatenate([[-1], *[k * len(latent) + place[(words & _MASK).astype(np.int64)] - 1 for k, (_, _, words) in enumerate(passages)]]).astype(np.int64))
+        # each term of each item with its occurrences, by item and number; an item's first one; the words that it must have in common
+        terms = [place[(item.words & _MASK).astype(np.int64)].astype(np.int64) - 1 for item in items]
+        self.item_keys, self.times = np.unique(np.concatenate([np.zeros(0, np.int64), *[i * len(latent) + x for i, x in enumerate(terms)]]), return_counts=True)
+        self.item_first = np.searchsorted(self.item_keys, np.arange(len(items) + 1) * len(latent))
+        self.least = np.array([_share(min(COVER, REWORDED), len(item.words)) for item in items], np.int64)
+        self.sizes = np.array([len(item.words) for item in items], np.int64)
         self._bits: dict[int, dict[int, int]] = {}
 
-    def candidates(self, words):
-        """(row, first word, end word, passage, cosine), in runs of bounded size."""
+    def candidates(self, words, done):
+        """(row, item, first word, end word, cosine) of what is to be compared with an item, in runs of bounded size; rows and items that get done are left out."""
+        tried: set[tuple] = set()
         hops = -(-words.counts // HOP)
         row = np.repeat(np.arange(len(hops)), hops)
         last = np.cumsum(hops)  # the end of each row's hops
@@ -273,7 +308,7 @@ class Search:
             if span.stop > span.start:
                 hop = hop_of[span] - at
                 new = np.flatnonzero(np.diff(hop, prepend=-1))
-                total[hop[new] + 1] = np.add.reduceat(self.latent[terms[span]], new)
+                total[hop[new] + 1] = _run_sums(self.latent, terms[span], new)
             np.cumsum(total, axis=0, out=total)
             for size, which in self.groups:
                 end = np.minimum(here + size, last[row[here]])
@@ -283,24 +318,57 @@ class Search:
                 some = np.flatnonzero(before[wide] - before[low] >= self.need[which].min())
                 if not len(some):
                     continue
-                v = total[end[some] - at] - total[here[some] - at]
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+                v = np.take(total, end[some] - at, axis=0)
+                v -= total[: len(here)] if len(some) == len(here) else np.take(total, some, axis=0)
                 cos = v @ self.vectors[which].T
-                i, j = np.nonzero(cos >= NEAR)
+                cos /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-12)[:, None]
+                near = np.flatnonzero(cos >= NEAR)
+                i, j = np.divmod(near, cos.shape[1])
                 for k in range(0, len(i), RUN):
-                    yield from self._enough(some[i[k : k + RUN]], j[k : k + RUN] + which.start, cos[i[k : k + RUN], j[k : k + RUN]], words, terms, row[here], begin, before, low, wide, here, end)
-
-    def _enough(self, k, passage, cos, words, terms, row, begin, before, low, wide, here, end):
-        """Of candidates those around which there are enough of the passage's words."""
+                    w, passage, c = some[i[k : k + RUN]], j[k : k + RUN] + which.start, cos.ravel()[near[k : k + RUN]]
+                    enough = self._enough(w, passage, terms, before, low, wide)
+                    w, passage, c = w[enough], passage[enough], c[enough]
+                    r, item = row[here[w]], self.owner[passage]
+                    lo = np.maximum(words.first[r], begin[here[w]] - self.offset[passage] - self.sizes[item])
+                    hi = np.minimum(words.first[r + 1], np.minimum(begin[end[w]], words.first[r + 1]) + self.sizes[item])
+                    yield from self._can(r, item, lo, hi, c, terms_at, terms, done, tried)
+
+    def _enough(self, k, passage, terms, before, low, wide):
+        """Which candidates have enough of the passage's words around them."""
         first = before[low[k]]
         n = before[wide[k]] - first
-        starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+        starts = np.cumsum(n) - n
         key = np.repeat(passage * len(self.latent), n) + terms[np.repeat(first - starts, n) + np.arange(n.sum())]
         found = self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] == key
         same = np.add.reduceat(found.astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)  # no window here is without terms
-        for m in np.flatnonzero(same >= self.need[passage]).tolist():
-            w = k[m]
-            yield int(row[w]), int(begin[here[w]]), int(min(begin[end[w]], words.first[row[w] + 1])), int(passage[m]), float(cos[m])
+        return np.flatnonzero(same >= self.need[passage])
+
+    def _can(self, row, item, lo, hi, cos, terms_at, terms, done, tried):
+        """Of candidates those that have enough of the item's words, each as often as the item has it, for any common subsequence that is accepted."""
+        first, end = np.searchsorted(terms_at, lo), np.searchsorted(terms_at, hi)
+        cost = np.cumsum(end - first)
+        rows = list(zip(*(x.tolist() for x in (row, item, lo, hi, cos)), strict=True))
+        a = 0
+        while a < len(rows):
+            b = max(a + 1, int(np.searchsorted(cost, cost[a] + _CHUNK_WORDS)))
+            k = []
+            for i in range(a, b):
+                if rows[i][:2] not in done and rows[i][1:4] not in tried:
+                    tried.add(rows[i][1:4])
+                    k.append(i)
+            a = b
+            if not k:
+                continue
+            of, n, slots = item[k], (end - first)[k], np.diff(self.item_first)[item[k]]
+            base = np.cumsum(slots) - slots
+            key = np.repeat(of * len(self.latent), n) + terms[np.repeat(first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            at = np.minimum(np.searchsorted(self.item_keys, key), len(self.item_keys) - 1)
+            found = self.item_keys[at] == key
+            slot = (at + np.repeat(base - self.item_first[of], n))[found]
+            most = self.times[np.repeat(self.item_first[of] - base, slots) + np.arange(slots.sum())]
+            same = np.add.reduceat(np.minimum(np.bincount(slot, minlength=len(most)), most), base)
+            for i in np.flatnonzero(same >= self.least[of]).tolist():
+                yield rows[k[i]]
 
     def bits(self, item: int) -> dict[int, int]:
         if item not in self._bits:
@@ -335,19 +403,14 @@ def _search(search):
         for batch in bounded(batches):
             out = {}
             for words in word_chunks(batch.column(1), True):
-                tried = set()
-                for row, first, end, passage, cos in r.candidates(words):
-                    item = r.owner[passage]
-                    if (row + words.row0, item) in out:
+                done = set()
+                for row, item, lo, hi, cos in r.candidates(words, done):
+                    if (row, item) in done:
                         continue
                     n = len(r.items[item].words)
-                    lo = max(int(words.first[row]), first - r.offset[passage] - n)
-                    hi = min(int(words.first[row + 1]), end + n)
-                    if (item, lo, hi) in tried:
-                        continue
-                    tried.add((item, lo, hi))
                     common, answer, at = r.check(item, words.hashes[lo:hi])
                     if common >= COVER * n or (common >= REWORDED * n and answer):
+                        done.add((row, item))
                         base = lo - int(words.first[row])
                         out[row + words.row0, item] = (common, n, cos, base + at[0], base + at[-1] + 1)
             ids = batch.column(0)
